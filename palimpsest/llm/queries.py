@@ -30,6 +30,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1, size=4096)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.sharding import shard
 
@@ -61,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_packing, op6_sharding, op7_licenses, op8_line_dedup, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_packing, op4_jaccard, op6_sharding, op7_licenses, op8_line_dedup, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
