@@ -36,6 +36,12 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.neighbours import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.sharding import shard
 
@@ -67,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_packing, op4_jaccard, op6_sharding, op7_licenses, op8_line_dedup, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_packing, op4_jaccard, op5_neighbours, op6_sharding, op7_licenses, op8_line_dedup, op9_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
