@@ -67,6 +67,10 @@ def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def cleaned_documents(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """The columns of docs with cleaned texts, without the documents of which nothing is left."""
+    """The columns of docs with cleaned texts, without the documents of which nothing is left; n_chars follows the text."""
     emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("clean", "\n\t\r", "")) == "")
-    return _cleaned(docs, sites).where(~F.coalesce(emptied, F.lit(False))).select(*unpacked(docs.columns, text=F.col("clean")))
+    changed = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        own = F.col("_row").getField("n_chars")
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("clean")).otherwise(own).cast(docs.schema["n_chars"].dataType)
+    return _cleaned(docs, sites).where(~F.coalesce(emptied, F.lit(False))).select(*unpacked(docs.columns, **changed))
