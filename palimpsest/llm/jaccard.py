@@ -1,8 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
-A text's set of shingles, XOR-hashed into 64-bit chunks, is a sketch: chunk values are parities of the shingles that
-fall on each bit. One shingle in one set alone changes one chunk, so two sets that differ in d shingles agree on all but
-d chunks. At a similarity of t or more, sets of a and b shingles differ in at most (a + b)(1 - t) / (1 + t); the smaller
+A text's set of shingles is XOR-hashed into a bit sketch: each shingle flips one bit of one of c chunks of 2 ** 32 bits,
+so two sketches differ in no more bits, and in no more chunks, than the sets differ in shingles. Sketches are sparse, and
+a chunk's odd bits are folded into a 64-bit key. At a similarity of t or more, sets of a and b shingles differ in at most (a + b)(1 - t) / (1 + t); the smaller
 has at least t times the larger. So each set emits, of its c chunks in one order for all sets, the first D + 1 (D: the
 most it may differ from any partner): two linked sets have one of them in common. Chunks come in layouts by size band;
 a set near the lower end of its band emits in the band below too. Empty chunks come last in the order, so they are
@@ -51,7 +51,7 @@ def chunk_keys(hashes: np.ndarray, band: int, wanted: int, percent: int = PERCEN
     c = int(differing(BAND ** (band + 1), percent)) * 3 // 2 + 1
     chunk = ((hashes >> np.uint64(32)) * np.uint64(c)) >> np.uint64(32)  # ascending, as the hashes are
     starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
-    value = np.bitwise_xor.reduceat(np.uint64(1) << (hashes & np.uint64(63)), starts)
+    value = np.bitwise_xor.reduceat(mixed(hashes & np.uint64(0xFFFFFFFF)), starts)  # a bit that is hit twice is even again
     chunk = chunk[starts]
     full = value != 0
     salt = mixed(np.uint64([band + 1]))[0]
