@@ -2,15 +2,17 @@
 
 A text's set of shingles is XOR-hashed into a bit sketch: each shingle flips one bit of one of c chunks of 2 ** 32 bits,
 so two sketches differ in no more bits, and in no more chunks, than the sets differ in shingles. Sketches are sparse, and
-a chunk's odd bits are folded into a 64-bit key. At a similarity of t or more, sets of a and b shingles differ in at most (a + b)(1 - t) / (1 + t); the smaller
-has at least t times the larger. So each set emits, of its c chunks in one order for all sets, the first D + 1 (D: the
-most it may differ from any partner): two linked sets have one of them in common. Chunks come in layouts by size band;
-a set near the lower end of its band emits in the band below too. Empty chunks come last in the order, so they are
-emitted only by sets with too few others, and no link is lost.
-
-Sets that are equal count once. Sets with a chunk in common are compared with the smallest of them first; links make
-components; what then shares a chunk across components is compared pair by pair. Every comparison is exact, on the
-shingle hashes of whole texts.
+a chunk's odd bits are folded into a 64-bit key. At a similarity of t or more, sets of a and b shingles differ in at most
+(a + b)(1 - t) / (1 + t); the smaller has at least t times the larger. So each set emits, of its c keys in one order for
+all sets, the first D + 1 (D: the most it may differ from any partner): two linked sets have one of them in common, and
+min(D of both) + 1 less their own most difference at least. Layouts go by size band; a set near the lower end of its
+band emits in the band below too.
+
+Any order will do, as long as it is one order: keys that many sets have come late, the most frequent last but for empty
+chunks, so that a passage which many documents share joins only those that hardly have anything else. Equal sets count
+once. Sets with a key in common are compared with the smallest of them first; links make components; what then shares
+keys across components is compared pair by pair. A comparison first takes small dense parity sketches, whose Hamming
+distance rules most pairs out, then the shingle hashes of the whole texts.
 """
 
 from __future__ import annotations
@@ -26,56 +28,79 @@ from palimpsest.llm.components import components
 from palimpsest.llm.shingles import mixed, shingle_sets
 
 WORDS, PERCENT = 5, 80
-#: Sizes from 4 ** k to 4 ** (k + 1) - 1 are a band; its layout has half as many chunks again as its largest sets may differ in.
-BAND = 4
+#: Sizes from 2 ** k to 2 ** (k + 1) - 1 are a band; its layout has a fifth more chunks than its largest sets may differ in.
+BAND = 2
 #: Texts of so many bytes are worked on at a time.
 SLICE = 1 << 20
-#: Up to so many classes the texts to compare are found by a broadcast of their ids (16 bytes each).
+#: Up to so many classes the texts to compare are found by a broadcast of their ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Keys seen so often are frequent, and so many of them, the most frequent, come late in the order. This changes what is
+#: compared, never what is found.
+FREQUENT, MOST_FREQUENT = 8, 500_000
 
 
-def differing(n: int | np.ndarray, percent: int = PERCENT):
+def differing(n, percent: int = PERCENT):
     """The most shingles in which a set of n can differ from a partner: partners have at most 100 n / percent."""
     return (n + 100 * n // percent) * (100 - percent) // (100 + percent)
 
 
-def _band(n: int) -> int:
-    k = 0
-    while BAND ** (k + 1) <= n:
-        k += 1
-    return k
+def bands(n: int, percent: int = PERCENT) -> list[int]:
+    """The bands in whose layouts a set of n emits: its own, and the one below if a partner may be there."""
+    own = n.bit_length() - 1
+    return [own, own - 1] if own and -(-n * percent // 100) < BAND**own else [own]
 
 
-def chunk_keys(hashes: np.ndarray, band: int, wanted: int, percent: int = PERCENT) -> np.ndarray:
-    """The first `wanted` chunks, as 64-bit keys, of an ascending set in a band's layout."""
-    c = int(differing(BAND ** (band + 1), percent)) * 3 // 2 + 1
-    chunk = ((hashes >> np.uint64(32)) * np.uint64(c)) >> np.uint64(32)  # ascending, as the hashes are
+def chunks(band: int, percent: int = PERCENT) -> int:
+    return int(differing(BAND ** (band + 1), percent)) * 6 // 5 + 1
+
+
+def chunk_keys(hashes: np.ndarray, band: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the chunks with an odd bit, their numbers) of an ascending set in a band's layout."""
+    chunk = ((hashes >> np.uint64(32)) * np.uint64(chunks(band, percent))) >> np.uint64(32)  # ascending, as the hashes are
     starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
     value = np.bitwise_xor.reduceat(mixed(hashes & np.uint64(0xFFFFFFFF)), starts)  # a bit that is hit twice is even again
-    chunk = chunk[starts]
-    full = value != 0
-    salt = mixed(np.uint64([band + 1]))[0]
-    keys = mixed(mixed(chunk[full] + salt) ^ value[full])
-    keys.sort()
-    if len(keys) < wanted:
-        empty = np.setdiff1d(np.arange(c, dtype=np.uint64), chunk[full], assume_unique=True)
-        rest = mixed(mixed(empty + salt))
-        rest.sort()
-        keys = np.concatenate([keys, rest[: wanted - len(keys)]])
-    return keys[:wanted]
-
-
-def emitted(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All chunk keys that a set emits. A set that can only be linked with equal ones emits none."""
+    odd = value != 0
+    at = chunk[starts][odd]
+    return mixed(mixed(at + mixed(np.uint64([band + 1]))[0]) ^ value[odd]), at
+
+
+def emitted(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """All keys that a set emits. A set that can only be linked with equal ones emits none.
+
+    frequent: frequent keys, ascending; rank: their places in the order behind all others.
+    """
     n = len(hashes)
     most = int(differing(n, percent))
-    if n == 0 or most == 0:
-        return np.empty(0, dtype=np.uint64)
-    band = _band(n)
-    keys = chunk_keys(hashes, band, most + 1, percent)
-    if band and -(-n * percent // 100) < BAND**band:
-        keys = np.concatenate([keys, chunk_keys(hashes, band - 1, most + 1, percent)])
-    return keys
+    out = [np.empty(0, dtype=np.uint64)]
+    for band in bands(n, percent) if most else []:
+        keys, at = chunk_keys(hashes, band, percent)
+        place = np.zeros(len(keys), dtype=np.int64)
+        if len(frequent):
+            i = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+            place = np.where(frequent[i] == keys, rank[i] + 1, 0)
+        keys = keys[np.lexsort((keys, place))]
+        if len(keys) <= most:
+            empty = np.setdiff1d(np.arange(chunks(band, percent), dtype=np.uint64), at, assume_unique=True)
+            rest = mixed(mixed(mixed(empty + mixed(np.uint64([band + 1]))[0])))
+            rest.sort()
+            keys = np.concatenate([keys, rest])
+        out.append(keys[: most + 1])
+    return np.concatenate(out)
+
+
+def dense(hashes: np.ndarray) -> np.ndarray:
+    """A parity sketch of 4 to 8 bits a shingle, a power of two, as bytes."""
+    bits = max(64, 1 << (4 * max(1, len(hashes)) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> int:
+    """Distance of two dense sketches: the longer one folds, as parities add up."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _slices(batch: pa.RecordBatch, column: int):
@@ -92,106 +117,161 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _sketched(words: int, percent: int, with_keys: bool):
+def _sets(batch: pa.RecordBatch, words: int):
+    """For each slice of a batch: its doc_ids, and hashes, bounds, n, h1, h2 of its texts' sets."""
+    for b in _slices(batch, 1):
+        hashes, bounds = shingle_sets(b.column(1), words)
+        n = np.diff(bounds)
+        full = n > 0
+        h1, h2 = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+        if len(hashes):
+            starts = bounds[:-1][full]
+            h1[full] = mixed(np.add.reduceat(mixed(hashes), starts) + n[full].astype(np.uint64))
+            h2[full] = mixed(np.add.reduceat(mixed(hashes ^ np.uint64(0x5DEECE66D)), starts))
+        yield b.column(0), hashes, bounds, n, h1, h2
+
+
+def _fresh(seen: set, h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> list[int]:
+    """Rows whose set isn't in `seen` yet, which then is."""
+    out = []
+    for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+        if n[i] and key not in seen:
+            seen.add(key)
+            out.append(i)
+    return out
+
+
+def _counted(words: int, percent: int):
+    """doc_id, n, h1, h2 of every text; on a batch's last row the keys that several of its sets have, and how many."""
+
     def run(batches):
         for batch in batches:
-            for b in _slices(batch, 1):
-                hashes, bounds = shingle_sets(b.column(1), words)
-                n = np.diff(bounds)
-                full = n > 0
-                h1, h2 = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
-                if len(hashes):
-                    starts = bounds[:-1][full]
-                    h1[full] = mixed(np.add.reduceat(mixed(hashes), starts) + n[full].astype(np.uint64))
-                    h2[full] = mixed(np.add.reduceat(mixed(hashes ^ np.uint64(0x5DEECE66D)), starts))
-                columns = [b.column(0), pa.array(n), _signed(h1), _signed(h2)]
-                if with_keys:
-                    keys = [emitted(hashes[i:j], percent) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                    ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(ends, _signed(np.concatenate([*keys, np.empty(0, dtype=np.uint64)]))))
-                else:
-                    raw = hashes.astype("<u8").tobytes()
-                    columns.append(pa.array([raw[8 * i : 8 * j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "keys" if with_keys else "hashes"])
+            seen, keys, parts = set(), [np.empty(0, dtype=np.uint64)], []
+            for ids, hashes, bounds, n, h1, h2 in _sets(batch, words):
+                for i in _fresh(seen, h1, h2, n):
+                    own = hashes[bounds[i] : bounds[i + 1]]
+                    keys += [chunk_keys(own, band, percent)[0] for band in bands(len(own), percent)] if differing(len(own), percent) else []
+                parts.append((ids, n, h1, h2))
+            key, count = np.unique(np.concatenate(keys), return_counts=True)
+            key, count = key[count > 1], count[count > 1]
+            for j, (ids, n, h1, h2) in enumerate(parts):
+                ends = np.zeros(len(n) + 1, dtype=np.int32)
+                last = j == len(parts) - 1
+                ends[-1] = len(key) if last else 0
+                lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (_signed(key if last else key[:0]), pa.array(count if last else count[:0]))]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), _signed(h1), _signed(h2), *lists], names=["doc_id", "n", "h1", "h2", "keys", "counts"])
 
     return run
 
 
-KEYED = "key long, c long, n int"
+KEYED = "key long, c long, n int, kind int"
+_HUB, _SHARED_HUB, _MORE = 0, 1, 2
 
 
-def _keyed(every: bool):
-    """Rows (key, c, n) of each block: of every key its smallest c, or all rows of the keys that a block has more than once."""
+def _emitting(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
+    """Rows (key, c, n, kind) of each batch: of every key its smallest class hash c as hub, and what more has the key."""
 
     def run(batches):
-        for b in batches:
-            lists = b.column(2)
-            lengths = np.diff(lists.offsets.to_numpy())
-            key = lists.flatten().to_numpy(zero_copy_only=False)
-            c, n = np.repeat(b.column(0).to_numpy(), lengths), np.repeat(b.column(1).to_numpy(), lengths)
+        for batch in batches:
+            seen, keys, c, n = set(), [np.empty(0, dtype=np.uint64)], [], []
+            for _, hashes, bounds, size, h1, h2 in _sets(batch, words):
+                for i in _fresh(seen, h1, h2, size):
+                    own = emitted(hashes[bounds[i] : bounds[i + 1]], frequent, rank, percent)
+                    keys.append(own)
+                    c.append(np.full(len(own), h1[i]))
+                    n.append(np.full(len(own), size[i]))
+            if not c:
+                continue
+            key, c, n = np.concatenate(keys).view(np.int64), np.concatenate(c).view(np.int64), np.concatenate(n)
             order = np.lexsort((c, key))
             key, c, n = key[order], c[order], n[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
-            key, c, n = key[new], c[new], n[new]
-            first = np.ones(len(key), dtype=bool)
-            first[1:] = key[1:] != key[:-1]
-            if every:
-                follows = ~first
-                follows[:-1] |= ~first[1:]
-                first = follows
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(c[first]), pa.array(n[first].astype(np.int32))], names=["key", "c", "n"])
+            same = key[1:] == key[:-1]
+            kind = np.full(len(key), _HUB, dtype=np.int32)
+            kind[:-1][same] = _SHARED_HUB
+            kind[1:][same] = _MORE
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(n.astype(np.int32)), pa.array(kind)], names=["key", "c", "n", "kind"])
 
     return run
 
 
 def _repeated(batches):
-    """Of rows sorted by key and c, those whose key has another c too. Holds one batch and one row."""
+    """Of rows sorted by key and c: hubs whose key has another hub or that are shared, and all that isn't a hub. Holds one batch and one row."""
     held = None
     for b in batches:
-        key, c, n = (b.column(i).to_numpy() for i in range(3))
+        key, c, n, kind = (b.column(i).to_numpy() for i in range(4))
+        more = kind == _MORE
+        if more.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (key, c, n)], names=["key", "c", "n"])
+        key, c, n, due = key[~more], c[~more], n[~more], (kind == _SHARED_HUB)[~more]
         if held is not None:
-            key, c, n = np.concatenate([held[0], key]), np.concatenate([held[1], c]), np.concatenate([held[2], n])
-            shown = held[3]
-        else:
-            shown = False
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1])
-        key, c, n = key[new], c[new], n[new]
+            key, c, n, due = (np.concatenate([h, x]) for h, x in zip(held[:4], (key, c, n, due), strict=True))
+        if not len(key):
+            continue
         same = key[1:] == key[:-1]
-        out = np.zeros(len(key), dtype=bool)
-        out[1:] |= same
-        out[:-1] |= same
-        give = out.copy()
-        if shown:
-            give[0] = False
-        held = (key[-1:], c[-1:], n[-1:], bool(out[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(key[give]), pa.array(c[give]), pa.array(n[give])], names=["key", "c", "n"])
+        due[1:] |= same
+        due[:-1] |= same
+        if held is not None:
+            due[0] &= not held[4]
+        held = (key[-1:], c[-1:], n[-1:], np.array([False]), bool(due[-1]) or (held is not None and len(key) == 1 and held[4]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[due]) for x in (key, c, n)], names=["key", "c", "n"])
 
 
-def _linked(percent: int):
+def _content(words: int):
+    """h1, h2, n, dense sketch and hashes of every text's set."""
+
+    def run(batches):
+        for batch in batches:
+            for _, hashes, bounds, n, h1, h2 in _sets(batch, words):
+                own = [hashes[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                columns = [_signed(h1), _signed(h2), pa.array(n), pa.array([dense(x).tobytes() for x in own], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "n", "sketch", "hashes"])
+
+    return run
+
+
+def _pairs_where(test):
+    """(a, b) of the rows (a, b, na, nb, x, y) that pass a test of (na, nb, x, y)."""
+
     def run(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ok = [test(i, j, x.as_buffer(), y.as_buffer()) for i, j, x, y in zip(na.tolist(), nb.tolist(), b.column(4), b.column(5), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+def _near(percent: int):
+    def test(na, nb, x, y) -> bool:
+        return hamming(np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)) <= (na + nb) * (100 - percent) // (100 + percent)
+
+    return test
+
+
+def _linked(percent: int):
+    def test(na, nb, x, y) -> bool:
+        x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+        both = int((y[np.minimum(np.searchsorted(y, x), nb - 1)] == x).sum())
+        return 100 * both >= percent * (na + nb - both)
+
+    return test
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b: class hashes) that are links. Texts are read again for the classes in question alone."""
     wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    ids = durable(sketched.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), f"{name}-ids")
+    ids = durable(rows.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), f"{name}-ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = docs.join(some, "doc_id", "left_semi").mapInArrow(_sketched(words, percent, False), "doc_id long, n long, h1 long, h2 long, hashes binary")
-    sets = durable(found.groupBy("h1", "h2").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
-    a, b = sets.select(F.col("h1").alias("a"), F.col("hashes").alias("of_a")), sets.select(F.col("h1").alias("b"), F.col("hashes").alias("of_b"))
-    return durable(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(_linked(percent), "a long, b long"), f"{name}-links")
+    found = docs.join(some, "doc_id", "left_semi").mapInArrow(_content(words), "h1 long, h2 long, n long, sketch binary, hashes binary")
+    sets = durable(found.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"]), f"{name}-sets")
+
+    def passing(pairs: DataFrame, column: str, test, step: str) -> DataFrame:
+        a = sets.select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col(column).alias("x"))
+        b = sets.select(F.col("h1").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "x", "y")
+        return durable(both.mapInArrow(_pairs_where(test), "a long, b long"), f"{name}-{step}")
+
+    return passing(passing(pairs, "sketch", _near(percent), "near"), "hashes", _linked(percent), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -204,11 +284,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = plain.mapInArrow(_sketched(words, percent, True), "doc_id long, n long, h1 long, h2 long, keys array<long>")
-    sketched = durable(sketched, "jaccard-sketches")
-    keyed = sketched.where(F.size("keys") > 0).select(F.col("h1").alias("c"), "n", "keys")
-    hubs = keyed.mapInArrow(_keyed(False), KEYED).repartition(partitions(spark), "key").sortWithinPartitions("key", "c").mapInArrow(_repeated, KEYED)
-    members = durable(hubs.unionByName(keyed.mapInArrow(_keyed(True), KEYED)).distinct(), "jaccard-members")
+    rows = durable(plain.mapInArrow(_counted(words, percent), "doc_id long, n long, h1 long, h2 long, keys array<long>, counts array<long>"), "jaccard-rows")
+    often = rows.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "counts")).alias("k")).groupBy("k.keys").agg(F.sum("k.counts").alias("n"))
+    often = often.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "keys").limit(MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT numbers
+    found = often["keys"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    emitting = _emitting(words, percent, found[order], len(found) - order)  # the most frequent has the last place
+    deal = F.when(F.col("kind") == _MORE, F.xxhash64("key", "c")).otherwise(F.col("key"))  # only hubs must meet
+    hubs = plain.mapInArrow(emitting, KEYED).repartition(partitions(spark), deal).sortWithinPartitions("key", "c").mapInArrow(_repeated, "key long, c long, n int")
+    members = durable(hubs.distinct(), "jaccard-members")
+    rows = rows.select("doc_id", "n", "h1", "h2")
 
     def fits(a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -216,7 +301,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     hub = members.groupBy("key").agg(F.min(F.struct("c", "n")).alias("h")).select("key", F.col("h.c").alias("a"), F.col("h.n").alias("na"))
     star = members.join(hub, "key").where((F.col("a") != F.col("c")) & fits("na", "n"))
     star = durable(star.select("a", F.col("c").alias("b")).distinct(), "jaccard-star")
-    links = _verify(star, plain, sketched, words, percent, "jaccard-star")
+    links = _verify(star, plain, rows, words, percent, "jaccard-star")
     joined = components(links)
     own = F.coalesce("component", "c")
     placed = durable(members.join(joined, F.col("c") == F.col("node"), "left").select("key", "c", "n", own.alias("k")), "jaccard-placed")
@@ -224,17 +309,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     left = placed.join(mixed_keys, "key", "left_semi")
     x = left.select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
     y = left.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & fits("na", "nb")).select("a", "b").distinct()
+    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & fits("na", "nb"))
+    across = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.count(F.lit(1)).alias("common"))
+
+    def most(n):
+        return F.floor((n + F.floor(100 * n / percent)) * (100 - percent) / (100 + percent))
+
+    least = F.least(most(F.col("na")), most(F.col("nb"))) + 1 - F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+    across = across.where(F.col("common") >= least).select("a", "b")
     seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = durable(across.join(seen, ["a", "b"], "left_anti"), "jaccard-across")
     if not across.isEmpty():
-        links = links.unionByName(_verify(across, plain, sketched, words, percent, "jaccard-across"))
-    classes = durable(sketched.where(F.col("n") > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+        links = links.unionByName(_verify(across, plain, rows, words, percent, "jaccard-across"))
+    classes = durable(rows.where(F.col("n") > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     of_a, of_b = classes.select(F.col("h1").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("h1").alias("b"), F.col("rep").alias("rb"))
     between = links.join(of_a, "a").join(of_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a is not null and b is not null")
     of_rep = components(between).select(F.col("node").alias("rep"), "component")
     placed = classes.join(of_rep, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2").join(placed, ["h1", "h2"], "left")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2").join(placed, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
