@@ -77,12 +77,15 @@ def buckets(text: str | None) -> set[int]:
 
 def _features(batches):
     for b in batches:
-        found = [sorted(buckets(t)) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "features": found})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "features": [sorted(buckets(t)) for t in b["text"]]})
 
 
-def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE) -> pd.DataFrame:
-    """doc_id, grade, features of at most `size` graded documents: of each grade the smallest hashes, grades in equal shares where there are enough."""
+def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE, features: int = FEATURES) -> pd.DataFrame:
+    """doc_id, grade, features of at most `size` graded documents: of each grade the smallest hashes, grades in equal shares where there are enough.
+
+    Of a document's features those are kept that are among the `features` that tell grade 0 from the others most, by
+    log odds times the root of their count; counting and choosing are aggregates over the sample.
+    """
     spark = docs.sparkSession
     known = grades.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select(F.col("doc_id").cast("long"), F.col("grade").cast("int"))
     known = known.groupBy("doc_id").agg(F.max("grade").alias("grade")).withColumn("h", F.xxhash64("doc_id"))
@@ -90,26 +93,13 @@ def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE) -> pd.DataFra
     picked = [known.where(F.col("grade") == g).orderBy("h", "doc_id").limit(size // max(1, len(per))) for g in sorted(per)]
     ids = spark.createDataFrame([r for p in picked for r in p.select("doc_id", "grade").collect()], "doc_id long, grade int")
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
-    return plain.mapInPandas(_features, "doc_id long, grade int, features array<int>").toPandas().sort_values("doc_id", ignore_index=True)
-
-
-def _select(rows: pd.DataFrame, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The FEATURES buckets that tell grades apart most, and (row, column) of each in the sample."""
-    lengths = rows["features"].map(len).to_numpy()
-    flat = np.concatenate([*(np.asarray(f, dtype=np.int64) for f in rows["features"]), np.empty(0, dtype=np.int64)])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    names, at = np.unique(flat, return_inverse=True)
-    with_all = np.bincount(at, minlength=len(names))
-    with_pos = np.bincount(at, weights=positive[row], minlength=len(names))
-    n, n_pos = len(rows), positive.sum()
-    odds = np.log((with_pos + 0.5) / (n_pos + 1)) - np.log((with_all - with_pos + 0.5) / (n - n_pos + 1))
-    score = np.where(with_all >= 5, np.abs(odds) * np.sqrt(with_all), 0)
-    best = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
-    best = best[score[best] > 0]
-    column = np.full(len(names), -1)
-    column[best] = np.arange(len(best))
-    keep = column[at] >= 0
-    return names[best], row[keep], column[at][keep]
+    rows = durable(plain.mapInPandas(_features, "doc_id long, grade int, features array<int>"), "toxicity-sample")
+    n, positive = rows.agg(F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
+    counts = rows.select("grade", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("grade") > 0).alias("pos")).where(F.col("all") >= 5)
+    odds = F.log((F.col("pos") + 0.5) / (positive + 1)) - F.log((F.col("all") - F.col("pos") + 0.5) / (n - positive + 1))
+    best = counts.select("f", F.round(F.abs(odds) * F.sqrt("all"), 9).alias("score")).orderBy(F.desc("score"), "f").limit(features)
+    chosen = F.lit(sorted(r["f"] for r in best.collect())).cast("array<int>")  # at most `features` numbers
+    return rows.select("doc_id", "grade", F.array_intersect("features", chosen).alias("features")).toPandas().sort_values("doc_id", ignore_index=True)
 
 
 def fit(rows: pd.DataFrame, rounds: int = 400, rate: float = 0.1, penalty: float = 2e-4) -> Model:
@@ -121,7 +111,9 @@ def fit(rows: pd.DataFrame, rounds: int = 400, rate: float = 0.1, penalty: float
     if len(rows) == 0 or rows["grade"].nunique() < 2:
         return Model(np.empty(0, dtype=np.int64), np.empty(0), np.array([40.0]))
     grade = rows["grade"].to_numpy()
-    names, row, column = _select(rows, (grade > 0).astype(float))
+    flat = np.concatenate([*(np.asarray(f, dtype=np.int64) for f in rows["features"]), np.empty(0, dtype=np.int64)])
+    names, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), rows["features"].map(len).to_numpy())
     k, n = int(grade.max()), len(rows)
     w, first, gaps = np.zeros(len(names)), 0.0, np.zeros(k - 1)
     target = (grade[:, None] > np.arange(k)[None, :]).astype(float)
