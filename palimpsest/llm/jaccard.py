@@ -10,8 +10,8 @@ band emits in the band below too.
 
 Any order will do, as long as it is one order: keys that many sets have come late, the most frequent last but for empty
 chunks, so that a passage which many documents share joins only those that hardly have anything else. Equal sets count
-once. Sets with a key in common are compared with the smallest of them first; links make components; what then shares
-keys across components is compared pair by pair. A comparison first takes small dense parity sketches, whose Hamming
+once. Sets with a key in common are compared with one of them first, which in the second round is the one that has the
+most links so far; links make components; what then shares keys across components is compared pair by pair. A comparison first takes small dense parity sketches, whose Hamming
 distance rules most pairs out, then the shingle hashes of the whole texts.
 """
 
@@ -34,9 +34,11 @@ BAND = 2
 SLICE = 1 << 20
 #: Up to so many classes the texts to compare are found by a broadcast of their ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Keys seen so often are frequent, and so many of them, the most frequent, come late in the order. This changes what is
-#: compared, never what is found.
-FREQUENT, MOST_FREQUENT = 8, 500_000
+#: Keys that a batch of texts has more than once are frequent, and so many of them, the most frequent, come late in the
+#: order (16 bytes each). This changes what is compared, never what is found.
+MOST_FREQUENT = 1_000_000
+#: Rounds of comparing with one set of each key.
+ROUNDS = 2
 
 
 def differing(n, percent: int = PERCENT):
@@ -65,7 +67,7 @@ def chunk_keys(hashes: np.ndarray, band: int, percent: int = PERCENT) -> tuple[n
 
 
 def emitted(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All keys that a set emits. A set that can only be linked with equal ones emits none.
+    """All keys that a set emits, as many of them in each of its bands(). A set that can only be linked with equal ones emits none.
 
     frequent: frequent keys, ascending; rank: their places in the order behind all others.
     """
@@ -164,56 +166,62 @@ def _counted(words: int, percent: int):
     return run
 
 
-KEYED = "key long, c long, n int, kind int"
+KEYED = "key long, c long, n int, own boolean, kind int"
 _HUB, _SHARED_HUB, _MORE = 0, 1, 2
 
 
-def _emitting(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """Rows (key, c, n, kind) of each batch: of every key its smallest class hash c as hub, and what more has the key."""
+def _emitting(words: int, percent: int, late):
+    """Rows (key, c, n, own, kind) of each batch: of every key its smallest class hash c as hub, and what more has the key.
+
+    late: broadcast (frequent keys, their ranks); own: the key is of the set's own band's layout.
+    """
 
     def run(batches):
         for batch in batches:
-            seen, keys, c, n = set(), [np.empty(0, dtype=np.uint64)], [], []
+            seen, keys, c, n, own = set(), [np.empty(0, dtype=np.uint64)], [], [], []
             for _, hashes, bounds, size, h1, h2 in _sets(batch, words):
                 for i in _fresh(seen, h1, h2, size):
-                    own = emitted(hashes[bounds[i] : bounds[i + 1]], frequent, rank, percent)
-                    keys.append(own)
-                    c.append(np.full(len(own), h1[i]))
-                    n.append(np.full(len(own), size[i]))
+                    given = emitted(hashes[bounds[i] : bounds[i + 1]], *late.value, percent)
+                    keys.append(given)
+                    c.append(np.full(len(given), h1[i]))
+                    n.append(np.full(len(given), size[i]))
+                    own.append(np.arange(len(given)) <= int(differing(int(size[i]), percent)))
             if not c:
                 continue
-            key, c, n = np.concatenate(keys).view(np.int64), np.concatenate(c).view(np.int64), np.concatenate(n)
+            key, c, n, own = np.concatenate(keys).view(np.int64), np.concatenate(c).view(np.int64), np.concatenate(n), np.concatenate(own)
             order = np.lexsort((c, key))
-            key, c, n = key[order], c[order], n[order]
+            key, c, n, own = key[order], c[order], n[order], own[order]
             same = key[1:] == key[:-1]
             kind = np.full(len(key), _HUB, dtype=np.int32)
             kind[:-1][same] = _SHARED_HUB
             kind[1:][same] = _MORE
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(n.astype(np.int32)), pa.array(kind)], names=["key", "c", "n", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(n.astype(np.int32)), pa.array(own), pa.array(kind)], names=["key", "c", "n", "own", "kind"])
 
     return run
 
 
 def _repeated(batches):
     """Of rows sorted by key and c: hubs whose key has another hub or that are shared, and all that isn't a hub. Holds one batch and one row."""
-    held = None
+    names, held = ["key", "c", "n", "own"], None
     for b in batches:
-        key, c, n, kind = (b.column(i).to_numpy() for i in range(4))
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        kind = b.column(4).to_numpy()
         more = kind == _MORE
         if more.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (key, c, n)], names=["key", "c", "n"])
-        key, c, n, due = key[~more], c[~more], n[~more], (kind == _SHARED_HUB)[~more]
+            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in columns], names=names)
+        columns, due = [x[~more] for x in columns], (kind == _SHARED_HUB)[~more]
         if held is not None:
-            key, c, n, due = (np.concatenate([h, x]) for h, x in zip(held[:4], (key, c, n, due), strict=True))
-        if not len(key):
+            columns = [np.concatenate([h, x]) for h, x in zip(held[0], columns, strict=True)]
+            due = np.concatenate([[False], due])
+        if not len(due):
             continue
-        same = key[1:] == key[:-1]
+        same = columns[0][1:] == columns[0][:-1]
         due[1:] |= same
         due[:-1] |= same
         if held is not None:
-            due[0] &= not held[4]
-        held = (key[-1:], c[-1:], n[-1:], np.array([False]), bool(due[-1]) or (held is not None and len(key) == 1 and held[4]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[due]) for x in (key, c, n)], names=["key", "c", "n"])
+            due[0] &= not held[1]
+        held = [x[-1:] for x in columns], bool(due[-1]) or (held is not None and len(due) == 1 and held[1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[due]) for x in columns], names=names)
 
 
 def _content(words: int):
@@ -279,53 +287,68 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     docs: doc_id and text among any other columns. Two documents link when 100 * shared >= percent * all of their
     distinct shingles; component_id is the smallest doc_id that links reach, itself included. Null texts and texts
-    without words have no shingles and no links. Rows that share a doc_id count as one document where links are
-    followed; rows without one get the component of an equal text, or null. An empty table gives no rows.
+    without words have no shingles and no links. Links go from text to text, also where rows
+    share a doc_id; rows without one get the component of an equal text, or null. An empty table gives no rows.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = durable(plain.mapInArrow(_counted(words, percent), "doc_id long, n long, h1 long, h2 long, keys array<long>, counts array<long>"), "jaccard-rows")
     often = rows.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "counts")).alias("k")).groupBy("k.keys").agg(F.sum("k.counts").alias("n"))
-    often = often.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "keys").limit(MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT numbers
+    often = often.orderBy(F.desc("n"), "keys").limit(MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT numbers
     found = often["keys"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
-    emitting = _emitting(words, percent, found[order], len(found) - order)  # the most frequent has the last place
+    late = spark.sparkContext.broadcast((found[order], len(found) - order))  # the most frequent has the last place
     deal = F.when(F.col("kind") == _MORE, F.xxhash64("key", "c")).otherwise(F.col("key"))  # only hubs must meet
-    hubs = plain.mapInArrow(emitting, KEYED).repartition(partitions(spark), deal).sortWithinPartitions("key", "c").mapInArrow(_repeated, "key long, c long, n int")
-    members = durable(hubs.distinct(), "jaccard-members")
+    hubs = plain.mapInArrow(_emitting(words, percent, late), KEYED).repartition(partitions(spark), deal).sortWithinPartitions("key", "c")
+    members = durable(hubs.mapInArrow(_repeated, "key long, c long, n int, own boolean").distinct(), "jaccard-members")
     rows = rows.select("doc_id", "n", "h1", "h2")
 
-    def fits(a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    hub = members.groupBy("key").agg(F.min(F.struct("c", "n")).alias("h")).select("key", F.col("h.c").alias("a"), F.col("h.n").alias("na"))
-    star = members.join(hub, "key").where((F.col("a") != F.col("c")) & fits("na", "n"))
-    star = durable(star.select("a", F.col("c").alias("b")).distinct(), "jaccard-star")
-    links = _verify(star, plain, rows, words, percent, "jaccard-star")
-    joined = components(links)
-    own = F.coalesce("component", "c")
-    placed = durable(members.join(joined, F.col("c") == F.col("node"), "left").select("key", "c", "n", own.alias("k")), "jaccard-placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    left = placed.join(mixed_keys, "key", "left_semi")
-    x = left.select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"))
-    y = left.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & fits("na", "nb"))
-    across = pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.count(F.lit(1)).alias("common"))
-
-    def most(n):
-        return F.floor((n + F.floor(100 * n / percent)) * (100 - percent) / (100 + percent))
-
-    least = F.least(most(F.col("na")), most(F.col("nb"))) + 1 - F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
-    across = across.where(F.col("common") >= least).select("a", "b")
-    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = durable(across.join(seen, ["a", "b"], "left_anti"), "jaccard-across")
-    if not across.isEmpty():
-        links = links.unionByName(_verify(across, plain, rows, words, percent, "jaccard-across"))
+    def may(na: str, nb: str, one: str, other: str):
+        """Sizes allow a link, and the layout is the one of the smaller set's band, so that a pair meets in one layout."""
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.col(one) | F.col(other))
+
+    links = tried = None
+    for turn in range(ROUNDS + 1):
+        if links is None:
+            placed = members.withColumn("k", F.col("c")).withColumn("links", F.lit(0).cast("long"))
+        else:
+            joined = components(links)
+            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+            known = durable(joined.join(ends, "node"), "jaccard-known")
+            placed = members.join(known, F.col("c") == F.col("node"), "left").select("key", "c", "n", "own", F.coalesce("component", "c").alias("k"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+        if turn:
+            mixed_keys = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+            placed = placed.join(mixed_keys, "key", "left_semi")
+        placed = durable(placed, "jaccard-placed")
+        if turn < ROUNDS:
+            best = placed.groupBy("key").agg(F.max(F.struct("links", "c", "n", "k", "own")).alias("h"))
+            hub = best.select("key", F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.k").alias("hk"), F.col("h.own").alias("ho"))
+            met = placed.join(hub, "key").where((F.col("k") != F.col("hk")) & may("n", "hn", "own", "ho"))
+            pairs = met.select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b")).distinct()
+        else:
+            x = placed.select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("own").alias("oa"))
+            y = placed.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("own").alias("ob"))
+            met = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & may("na", "nb", "oa", "ob"))
+            common = met.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.count(F.lit(1)).alias("common"))
+
+            def most(n):
+                return F.floor((n + F.floor(100 * n / percent)) * (100 - percent) / (100 + percent))
+
+            least = F.least(most(F.col("na")), most(F.col("nb"))) + 1 - F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+            pairs = common.where(F.col("common") >= least).select("a", "b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = durable(pairs, "jaccard-pairs")
+        if turn and pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = _verify(pairs, plain, rows, words, percent, "jaccard")
+        links = new if links is None else links.unionByName(new)
     classes = durable(rows.where(F.col("n") > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    of_a, of_b = classes.select(F.col("h1").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("h1").alias("b"), F.col("rep").alias("rb"))
-    between = links.join(of_a, "a").join(of_b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a is not null and b is not null")
-    of_rep = components(between).select(F.col("node").alias("rep"), "component")
-    placed = classes.join(of_rep, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.join(components(links), F.col("h1") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("component", "h1").alias("k"))
+    of_class = durable(of_class, "jaccard-components")
+    first = of_class.groupBy("k").agg(F.min("rep").alias("component_id"))
+    placed = of_class.join(first, "k").select("h1", "h2", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2").join(placed, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
