@@ -20,7 +20,7 @@ WIDE = re.compile(r"\s | \s")
 NARROW = re.compile(r"(?<=\S) (?=\S)")
 #: Line ends beside other white space.
 LINE_ENDS = re.compile(r"\n.*\n|\s\n|\n\s|[^\S\n]")
-KEPT, LONGEST = 700_000, 48
+KEPT, LONGEST = 600_000, 48
 
 
 def byte_marks() -> dict[int, str]:
