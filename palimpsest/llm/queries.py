@@ -77,4 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from palimpsest.llm import oracles
+
+    return {"op4_jaccard": oracles.JACCARD, "op7_licenses": oracles.LICENSES, "op8_line_dedup": oracles.LINES}
