@@ -19,14 +19,13 @@ def _bm25_sql() -> str:
     score = "0.0::DOUBLE"
     for i in range(len(_WORDS)):
         idf = f"round(ln(round(1 + round(round(al - d{i} + 0.5::DOUBLE, 6) / round(d{i} + 0.5::DOUBLE, 6), 6), 6)), 6)"
-        score = f"CASE WHEN f{i} > 0 THEN round({score} + round({idf} * round(round(f{i} * 2.2::DOUBLE, 6) / round(f{i} + {length}, 6), 6), 6) ELSE {score} END"
+        score = f"CASE WHEN f{i} > 0 THEN round({score} + round({idf} * round(round(f{i} * 2.2::DOUBLE, 6) / round(f{i} + {length}, 6), 6), 6), 6) ELSE {score} END"
     return f"{_TOK}, c AS (SELECT doc_id, source, len(t) AS n, {counts} FROM k), s AS (SELECT count(*) AS al, round(avg(n), 6) AS a, {frequent} FROM c), b AS (SELECT doc_id, source, {score} AS score FROM c CROSS JOIN s)"
 
 
-@query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 5) AS score FROM b WHERE score > 0")
+@query(f"WITH {_bm25_sql()} SELECT doc_id, score FROM b WHERE score > 0")
 def bm25(spark, sf_dir):
-    found = op.bm25(table(spark, sf_dir, "documents"), _WORDS, "doc_id", "text")
-    return found.select("doc_id", F.round("score", 5).alias("score"))
+    return op.bm25(table(spark, sf_dir, "documents"), _WORDS, "doc_id", "text")
 
 
 @query(f"WITH {_TOK} SELECT doc_id, len(list_intersect(t, ['loser', 'trash', 'moron'])) AS hits FROM k WHERE len(list_intersect(t, ['loser', 'trash', 'moron'])) > 0")
