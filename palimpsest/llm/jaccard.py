@@ -32,9 +32,11 @@ WORDS, PERCENT = 5, 80
 BAND = 2
 #: Texts of so many bytes are worked on at a time.
 SLICE = 1 << 20
+#: So many texts' keys are combined at a time.
+BLOCK = 10_000
 #: Up to so many classes the texts to compare are found by a broadcast of their ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Keys that a batch of texts has more than once are frequent, and so many of them, the most frequent, come late in the
+#: Keys that a block of texts has more than once are frequent, and so many of them, the most frequent, come late in the
 #: order (16 bytes each). This changes what is compared, never what is found.
 MOST_FREQUENT = 1_000_000
 #: Rounds of comparing with one set of each key.
@@ -119,6 +121,22 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _blocks(batches):
+    """Batches in runs of about BLOCK rows: what is combined before it leaves a task."""
+    batches, rows = iter(batches), 0
+
+    def run(first):
+        nonlocal rows
+        rows = first.num_rows
+        yield first
+        while rows < BLOCK and (b := next(batches, None)) is not None:
+            rows += b.num_rows
+            yield b
+
+    while (first := next(batches, None)) is not None:
+        yield run(first)
+
+
 def _sets(batch: pa.RecordBatch, words: int):
     """For each slice of a batch: its doc_ids, and hashes, bounds, n, h1, h2 of its texts' sets."""
     for b in _slices(batch, 1):
@@ -144,12 +162,12 @@ def _fresh(seen: set, h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> list[int
 
 
 def _counted(words: int, percent: int):
-    """doc_id, n, h1, h2 of every text; on a batch's last row the keys that several of its sets have, and how many."""
+    """doc_id, n, h1, h2 of every text; on a block's last row the keys that several of its sets have, and how many."""
 
     def run(batches):
-        for batch in batches:
+        for block in _blocks(batches):
             seen, keys, parts = set(), [np.empty(0, dtype=np.uint64)], []
-            for ids, hashes, bounds, n, h1, h2 in _sets(batch, words):
+            for ids, hashes, bounds, n, h1, h2 in (x for batch in block for x in _sets(batch, words)):
                 for i in _fresh(seen, h1, h2, n):
                     own = hashes[bounds[i] : bounds[i + 1]]
                     keys += [chunk_keys(own, band, percent)[0] for band in bands(len(own), percent)] if differing(len(own), percent) else []
@@ -171,15 +189,15 @@ _HUB, _SHARED_HUB, _MORE = 0, 1, 2
 
 
 def _emitting(words: int, percent: int, late):
-    """Rows (key, c, n, own, kind) of each batch: of every key its smallest class hash c as hub, and what more has the key.
+    """Rows (key, c, n, own, kind) of each block: of every key its smallest class hash c as hub, and what more has the key.
 
     late: broadcast (frequent keys, their ranks); own: the key is of the set's own band's layout.
     """
 
     def run(batches):
-        for batch in batches:
+        for block in _blocks(batches):
             seen, keys, c, n, own = set(), [np.empty(0, dtype=np.uint64)], [], [], []
-            for _, hashes, bounds, size, h1, h2 in _sets(batch, words):
+            for _, hashes, bounds, size, h1, h2 in (x for batch in block for x in _sets(batch, words)):
                 for i in _fresh(seen, h1, h2, size):
                     given = emitted(hashes[bounds[i] : bounds[i + 1]], *late.value, percent)
                     keys.append(given)

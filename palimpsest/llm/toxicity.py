@@ -24,6 +24,8 @@ from palimpsest.llm.common import durable, packed, unpacked
 SAMPLE = 8_000
 #: At most so many features carry a weight.
 FEATURES = 4_096
+#: A feature whose count differs between clean and toxic documents by less (chi squared, one degree of freedom) is chance.
+CHI = 20.0
 #: A feature is one of so many buckets.
 BUCKETS = 1 << 22
 #: A document is rejected from this expected severity on.
@@ -83,8 +85,8 @@ def _features(batches):
 def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE, features: int = FEATURES) -> pd.DataFrame:
     """doc_id, grade, features of at most `size` graded documents: of each grade the smallest hashes, grades in equal shares where there are enough.
 
-    Of a document's features those are kept that are among the `features` that tell grade 0 from the others most, by
-    log odds times the root of their count; counting and choosing are aggregates over the sample.
+    Of a document's features those are kept that are among the `features` that tell grade 0 from the others most, by chi
+    squared of at least CHI; counting and choosing are aggregates over the sample.
     """
     spark = docs.sparkSession
     known = grades.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select(F.col("doc_id").cast("long"), F.col("grade").cast("int"))
@@ -96,8 +98,10 @@ def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE, features: int
     rows = durable(plain.mapInPandas(_features, "doc_id long, grade int, features array<int>"), "toxicity-sample")
     n, positive = rows.agg(F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
     counts = rows.select("grade", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("grade") > 0).alias("pos")).where(F.col("all") >= 5)
-    odds = F.log((F.col("pos") + 0.5) / (positive + 1)) - F.log((F.col("all") - F.col("pos") + 0.5) / (n - positive + 1))
-    best = counts.select("f", F.round(F.abs(odds) * F.sqrt("all"), 9).alias("score")).orderBy(F.desc("score"), "f").limit(features)
+    with_, without = F.col("pos").cast("double"), F.col("all") - F.col("pos").cast("double")
+    cross = with_ * (n - positive - without) - without * (positive - with_)
+    chi = n * cross * cross / (F.lit(float(positive)) * (n - positive) * F.col("all") * (n - F.col("all")))
+    best = counts.where(F.col("all") < n).select("f", F.round(chi, 6).alias("chi")).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "f").limit(features)
     chosen = F.lit(sorted(r["f"] for r in best.collect())).cast("array<int>")  # at most `features` numbers
     return rows.select("doc_id", "grade", F.array_intersect("features", chosen).alias("features")).toPandas().sort_values("doc_id", ignore_index=True)
 
@@ -146,8 +150,11 @@ def graded(labels: DataFrame, docs: DataFrame) -> DataFrame:
     return durable(own.join(short, "doc_id").select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("short"), 2).otherwise(1).alias("grade")), "grades")
 
 
-def score(rows: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
-    """The columns of rows, which has `text` and none named as these, with severity (expected grade), grade (likeliest) and toxic (severity >= reject)."""
+def score(rows: DataFrame, model: Model, keep: list[str], clean_only: bool = False, reject: float = REJECT) -> DataFrame:
+    """The columns `keep` of rows, which has `text`, with severity (expected grade), grade (likeliest) and toxic (severity >= reject).
+
+    clean_only: without the toxic rows, which then never leave the worker.
+    """
 
     def run(batches):
         for whole in batches:
@@ -158,9 +165,10 @@ def score(rows: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
                 each = -np.diff(np.hstack([np.ones((len(latent), 1)), above, np.zeros((len(latent), 1))]), axis=1)
                 severity = above.sum(axis=1)
                 new = [pa.array(severity), pa.array(each.argmax(axis=1), pa.int32()), pa.array(severity >= reject)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "severity", "grade", "toxic"])
+                out = pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *new], names=[*keep, "severity", "grade", "toxic"])
+                yield out.filter(pa.array(severity < reject)) if clean_only else out
 
-    fields = [*rows.schema.fields, *T.StructType.fromDDL("severity double, grade int, toxic boolean").fields]
+    fields = [*(rows.schema[c] for c in keep), *T.StructType.fromDDL("severity double, grade int, toxic boolean").fields]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
@@ -172,10 +180,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, severity, grade, toxic of every document. A null or empty text has no feature and its severity is what the thresholds alone give."""
     model = trained(docs, labels)
-    return score(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).drop("text")
+    return score(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model, ["doc_id"])
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The columns of docs, without the documents that the model rejects."""
     model = trained(docs, labels)
-    return score(packed(docs, "text"), model).where(~F.col("toxic")).select(*unpacked(docs.columns))
+    return score(packed(docs, "text"), model, ["_row"], clean_only=True).select(*unpacked(docs.columns))

@@ -321,7 +321,7 @@ def test_toxicity(spark, docs, rows, empty):
         own = list(rng.choice(plain, int(rng.integers(5, 200))))
         toxic = i % 5 == 0
         if toxic:
-            own[int(rng.integers(0, len(own)))] = ("moron", "idiot", "loweichen", "loweiung")[i // 5 % 4]
+            own[int(rng.integers(0, len(own)))] = ("moron", "idiot", "loweichen", "loweiung")[i // 10 % 4]
         texts.append(" ".join(own))
         marks.append(int(toxic))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
