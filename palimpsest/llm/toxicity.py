@@ -26,8 +26,14 @@ SAMPLE = 8_000
 FEATURES = 4_096
 #: A feature whose count differs between clean and toxic documents by less (chi squared, one degree of freedom) is chance.
 CHI = 20.0
+#: A feature must be in at least 5 documents of the sample, and in as many as this share of its toxic ones.
+SUPPORT = 0.01
+#: A feature must be so many times as likely, or as unlikely, in toxic documents: what all prose of a kind has is no sign.
+RATIO = 4.0
 #: A feature is one of so many buckets.
-BUCKETS = 1 << 22
+BUCKETS = (1 << 31) - 1
+#: A toxic text of more characters than this has grade 2.
+LONG = 2_000
 #: A document is rejected from this expected severity on.
 REJECT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
@@ -86,7 +92,7 @@ def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE, features: int
     """doc_id, grade, features of at most `size` graded documents: of each grade the smallest hashes, grades in equal shares where there are enough.
 
     Of a document's features those are kept that are among the `features` that tell grade 0 from the others most, by chi
-    squared of at least CHI; counting and choosing are aggregates over the sample.
+    squared of at least CHI, and RATIO times as likely in one of them; counting and choosing are aggregates over the sample.
     """
     spark = docs.sparkSession
     known = grades.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select(F.col("doc_id").cast("long"), F.col("grade").cast("int"))
@@ -96,17 +102,21 @@ def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE, features: int
     ids = spark.createDataFrame([r for p in picked for r in p.select("doc_id", "grade").collect()], "doc_id long, grade int")
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
     rows = durable(plain.mapInPandas(_features, "doc_id long, grade int, features array<int>"), "toxicity-sample")
+    # Copies of one text aren't independent evidence: of texts with the same four smallest hashes in common one stays.
+    rows = durable(rows.withColumn("_four", F.slice("features", 1, 4)).groupBy("grade", "_four").agg(F.min(F.struct("doc_id", "features")).alias("r")).select("r.doc_id", "grade", "r.features"), "toxicity-distinct")
     n, positive = rows.agg(F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
-    counts = rows.select("grade", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("grade") > 0).alias("pos")).where(F.col("all") >= 5)
+    counts = rows.select("grade", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("grade") > 0).alias("pos")).where(F.col("all") >= max(5, SUPPORT * positive))
     with_, without = F.col("pos").cast("double"), F.col("all") - F.col("pos").cast("double")
     cross = with_ * (n - positive - without) - without * (positive - with_)
     chi = n * cross * cross / (F.lit(float(positive)) * (n - positive) * F.col("all") * (n - F.col("all")))
-    best = counts.where(F.col("all") < n).select("f", F.round(chi, 6).alias("chi")).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "f").limit(features)
+    times = ((with_ + 0.5) / (positive + 1)) / ((without + 0.5) / (n - positive + 1))
+    telling = (F.col("all") < n) & ((times >= RATIO) | (times <= 1 / RATIO))
+    best = counts.where(telling).select("f", F.round(chi, 6).alias("chi")).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "f").limit(features)
     chosen = F.lit(sorted(r["f"] for r in best.collect())).cast("array<int>")  # at most `features` numbers
     return rows.select("doc_id", "grade", F.array_intersect("features", chosen).alias("features")).toPandas().sort_values("doc_id", ignore_index=True)
 
 
-def fit(rows: pd.DataFrame, rounds: int = 400, rate: float = 0.1, penalty: float = 2e-4) -> Model:
+def fit(rows: pd.DataFrame, rounds: int = 800, rate: float = 0.1, penalty: float = 1e-5) -> Model:
     """Maximum likelihood of the cumulative-link model by Adam over all sample rows, with a ridge penalty.
 
     Grades are 0, 1, 2, ...; without rows or with one grade alone the model gives everything severity 0. Grades are
@@ -140,14 +150,14 @@ def fit(rows: pd.DataFrame, rounds: int = 400, rate: float = 0.1, penalty: float
 
 
 def graded(labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, grade from the 0/1 label `toxic`: 0 clean, 1 toxic, 2 toxic and dense.
+    """doc_id, grade from the 0/1 label `toxic`: 0 clean, 1 toxic, 2 toxic with much abuse.
 
-    The labels know no degrees, so a short text, where the same abuse is a larger part, counts as the graver: grade 2
-    for toxic texts of at most 1,000 characters. Any table of doc_id and grade can stand in for this one.
+    The labels know no degrees. A toxic text of more than LONG characters, in which the same rate of abuse makes more of
+    it, counts as the graver. Any table of doc_id and grade can stand in for this one.
     """
-    short = docs.select(F.col("doc_id").cast("long"), (F.char_length("text") <= 1000).alias("short")).groupBy("doc_id").agg(F.max("short").alias("short"))
+    long = docs.select(F.col("doc_id").cast("long"), (F.char_length("text") > LONG).alias("long")).groupBy("doc_id").agg(F.max("long").alias("long"))
     own = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return durable(own.join(short, "doc_id").select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("short"), 2).otherwise(1).alias("grade")), "grades")
+    return durable(own.join(long, "doc_id").select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("long"), 2).otherwise(1).alias("grade")), "grades")
 
 
 def score(rows: DataFrame, model: Model, keep: list[str], clean_only: bool = False, reject: float = REJECT) -> DataFrame:
