@@ -119,8 +119,8 @@ def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE, features: int
 def fit(rows: pd.DataFrame, rounds: int = 800, rate: float = 0.1, penalty: float = 1e-5) -> Model:
     """Maximum likelihood of the cumulative-link model by Adam over all sample rows, with a ridge penalty.
 
-    Grades are 0, 1, 2, ...; without rows or with one grade alone the model gives everything severity 0. Grades are
-    weighed equally, so that cuts don't depend on how often each was sampled.
+    Grades are 0, 1, 2, ...; without rows or with one grade alone the model gives everything severity 0. Rows
+    weigh alike: a text without a telling feature is as likely toxic as such texts of the sample are.
     """
     if len(rows) == 0 or rows["grade"].nunique() < 2:
         return Model(np.empty(0, dtype=np.int64), np.empty(0), np.array([40.0]))
@@ -131,8 +131,7 @@ def fit(rows: pd.DataFrame, rounds: int = 800, rate: float = 0.1, penalty: float
     k, n = int(grade.max()), len(rows)
     w, first, gaps = np.zeros(len(names)), 0.0, np.zeros(k - 1)
     target = (grade[:, None] > np.arange(k)[None, :]).astype(float)
-    share = np.bincount(grade, minlength=k + 1)
-    cost = (1.0 / (share[grade] * (share > 0).sum()))[:, None]
+    cost = 1.0 / n
     m = v = np.zeros(len(names) + k)
     for step in range(1, rounds + 1):
         cuts = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
