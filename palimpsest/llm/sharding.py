@@ -54,16 +54,21 @@ def difference(sums: np.ndarray) -> np.ndarray:
 
 
 def _local(shards: int):
+    def labelled(some: pd.DataFrame, part: int, block: int) -> pd.DataFrame:
+        sums = np.zeros((len(some), shards), dtype=np.int64)
+        sums[:, 0] = some["size"]
+        return some.assign(label=difference(sums)[:, 0], part=part, block=block)[["digest", "size", "part", "block", "label"]]
+
     def run(batches):
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, held, rows = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                some = batch.iloc[at : at + BLOCK].copy()
-                sums = np.zeros((len(some), shards), dtype=np.int64)
-                sums[:, 0] = some["size"]
-                some["label"], some["part"], some["block"] = difference(sums)[:, 0], part, block
-                block += 1
-                yield some[["digest", "size", "part", "block", "label"]]
+            held.append(batch)
+            rows += len(batch)
+            if rows >= BLOCK:
+                yield labelled(pd.concat(held, ignore_index=True), part, block)
+                block, held, rows = block + 1, [], 0
+        if rows:
+            yield labelled(pd.concat(held, ignore_index=True), part, block)
 
     return run
 
