@@ -23,8 +23,9 @@ from pyspark.sql.window import Window
 from palimpsest.llm.common import durable
 
 TREES, LEVELS = 24, 3
-#: A search of n vectors looks at about BREADTH * sqrt(n) of them, spread over the shards.
-BREADTH = 60
+#: A search of n vectors looks at about BREADTH * sqrt(n) of them, spread over the shards, and at no less than SHARE of each
+#: shard: with a share that went on falling, recall would fall with n.
+BREADTH, SHARE = 60, 0.3
 #: Vectors in a shard and queries in a block.
 SHARD, BLOCK = 16_384, 4_096
 
@@ -156,7 +157,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     queries = own.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding", "h1", "h2").dropDuplicates(["query_id", "h1", "h2"])
     n, asked = entries.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
-    share = min(1.0, BREADTH * np.sqrt(n) / max(1, n))
+    share = min(1.0, max(SHARE, BREADTH / np.sqrt(max(1, n))))
     dealt = entries.select(F.pmod("h1", F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "embedding", "ids")
     asking = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "embedding")
     found = dealt.groupBy("shard", "block").cogroup(asking.groupBy("shard", "block")).applyInPandas(_search(k, share), "query_id long, vec_id long, score double")

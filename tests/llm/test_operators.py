@@ -311,6 +311,27 @@ def test_neighbours(spark):
     assert neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_recall_holds_at_many_vectors(spark, tmp_path):
+    """Ten shards, where each search sees a part of every one."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from palimpsest.llm.neighbours import neighbours
+
+    n, every = 150_000, 1_000
+    x = np.random.default_rng(8).normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists}), tmp_path / "v.parquet")
+    got = defaultdict(set)
+    for r in neighbours(spark.read.parquet(str(tmp_path / "v.parquet")), every=every).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    score = x[::every] @ x.T
+    score[np.arange(n // every), np.arange(0, n, every)] = -np.inf
+    best = np.argpartition(-score, 20, axis=1)[:, :20]
+    assert np.mean([len(got[q * every] & set(b.tolist())) / 20 for q, b in enumerate(best)]) >= 0.95
+
+
 def test_toxicity(spark, docs, rows, empty):
     from palimpsest.llm import toxicity as op
 
