@@ -54,13 +54,18 @@ SPELLINGS = (
     ("and or", "or"),
     ("v", "version"),
 )
-#: A line that names a holder alone: it starts with "copyright", "(c)" or the sign.
+#: A line that goes on with a sentence of a known text: "copyright" and a word that follows it there, or the item "(c)" of a
+#: list. Which words follow is fixed; a holder's line has a sign, a year or a name instead.
+FOLLOWING = r"and|are|also|disclaimers?|doctrines|holders?|if|interests?|laws?|licen[sc]es?|like|lines?|notices?|on|owners?|ownership|patent|permission|statements?|the[ \t]+(software|library)|those|treaty"
+CONTINUED = rf"(?m)^[ \t]*(copyright([a-z]|[^a-z0-9\n(©]*(({FOLLOWING})\b|(the)?[ \t\r]*$))|\(c\)([ \t\r]*$|[ \t]+(you|under)\b))"
+#: A line that names a holder alone: of the rest, it starts with "copyright", "(c)" or the sign.
 COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, no copyright lines, every run of other than a-z and 0-9 one space, one spelling for equivalent ones."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, "\n"), "[^a-z0-9]+", " "))
+    """Lower case, no holders' lines, every run of other than a-z and 0-9 one space, one spelling for equivalent ones."""
+    own = F.regexp_replace(F.lower(text), CONTINUED, ". $1")  # no longer at the start of its line
+    bare = F.trim(F.regexp_replace(F.regexp_replace(own, COPYRIGHT, "\n"), "[^a-z0-9]+", " "))
     for pattern, word in SPELLINGS:
         bare = F.regexp_replace(bare, rf"\b{pattern}\b", word)
     return bare

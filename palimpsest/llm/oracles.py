@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from palimpsest.llm.jaccard import PERCENT, WORDS
-from palimpsest.llm.licenses import COPYRIGHT, KNOWN, SPELLINGS
+from palimpsest.llm.licenses import CONTINUED, COPYRIGHT, KNOWN, SPELLINGS
 from palimpsest.llm.line_dedup import SITES
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -23,7 +23,8 @@ def _quoted(text: str) -> str:
 
 
 def _normalised(column: str) -> str:
-    out = f"trim(regexp_replace(regexp_replace(lower({column}), '{COPYRIGHT}', chr(10), 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    own = f"regexp_replace(lower({column}), '{CONTINUED}', '. \\1', 'g')"
+    out = f"trim(regexp_replace(regexp_replace({own}, '{COPYRIGHT}', chr(10), 'g'), '[^a-z0-9]+', ' ', 'g'))"
     for pattern, word in SPELLINGS:
         out = f"regexp_replace({out}, '\\b{pattern}\\b', '{word}', 'g')"
     return out

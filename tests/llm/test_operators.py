@@ -286,6 +286,27 @@ def test_licences(spark, empty):
     assert scan(empty).count() == 0
 
 
+def test_licences_wrapped_anywhere(spark):
+    """Known texts keep their digest at every width, and holders' lines of every form are left out."""
+    import textwrap
+
+    import duckdb
+
+    from palimpsest.llm.licenses import KNOWN, digest
+    from palimpsest.llm.oracles import _normalised
+
+    apache = 'You must retain all copyright, patent and (c) You must keep notices; a copyright license, copyrighted and copyrightable work, copyright and related rights, each copyright\nowner. We copyright the software under copyright law.'
+    texts = {name: text for name, text in KNOWN if len(text) > 200} | {"other": apache}
+    holders = ["", "Copyright (c) 2020 Someone", "COPYRIGHT 1999-2004, A. Body", "Copyright © The Authors", "Copyright The Go Authors", "(c) X", "© 2001 Y", "Copyright: Z", "  Copyright (C) <year> <name>"]
+    rows = [(name, "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))) for name, text in texts.items() for width in range(20, 110)]
+    rows += [(name, f"{line}\n\n{text}") for name, text in texts.items() for line in holders]
+    got = spark.createDataFrame(rows, "name string, text string").select("name", "text", digest(F.col("text")).alias("digest")).collect()
+    odd = {(r["name"], r["text"][:60]) for r in got if r["digest"] != next(x["digest"] for x in got if x["name"] == r["name"] and x["text"] == "\n\n" + texts[r["name"]])}
+    assert not odd
+    con = duckdb.connect()
+    assert all(con.execute(f"SELECT md5({_normalised('?')})", [r["text"]]).fetchone()[0] == r["digest"] for r in got[::7])
+
+
 def test_neighbours(spark):
     from palimpsest.llm.neighbours import neighbours
 
