@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from palimpsest.llm.jaccard import PERCENT, WORDS
-from palimpsest.llm.licenses import CONTINUED, COPYRIGHT, KNOWN, SPELLINGS
+from palimpsest.llm.licenses import CONTINUED, COPYRIGHT, DIGESTS, KNOWN, SPELLINGS
 from palimpsest.llm.line_dedup import SITES
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -31,8 +31,9 @@ def _normalised(column: str) -> str:
 
 
 _KNOWN = " UNION ALL ".join(f"SELECT '{name}' AS license, '{_quoted(text)}' AS text" for name, text in KNOWN)
+_DIGESTS = ", ".join(f"('{name}', '{d}')" for name, all_of in DIGESTS.items() for d in all_of.split())
 
-LICENSES = f"""WITH k AS (SELECT DISTINCT license, md5({_normalised("text")}) AS digest FROM ({_KNOWN}) q),
+LICENSES = f"""WITH k AS (SELECT DISTINCT license, md5({_normalised("text")}) AS digest FROM ({_KNOWN}) q UNION SELECT * FROM (VALUES {_DIGESTS}) v(license, digest)),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 h AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(DISTINCT license) AS n FROM l JOIN k ON k.digest = md5({_normalised("line")}) GROUP BY 1),
 d AS (SELECT doc_id, md5({_normalised("text")}) AS digest FROM documents)

@@ -307,6 +307,34 @@ def test_licences_wrapped_anywhere(spark):
     assert all(con.execute(f"SELECT md5({_normalised('?')})", [r["text"]]).fetchone()[0] == r["digest"] for r in got[::7])
 
 
+def test_licences_entire_texts(spark):
+    from pathlib import Path
+
+    from palimpsest.llm.licenses import _ISC_END, _ISC_GRANT, known_digests, scan
+
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    holder = "Copyright (c) 2020, Someone\n"
+    texts = [("BSD-2-Clause", f"{t}{holder}{r}{bsd % ''}") for t in ("", "BSD 2-Clause License\n\n") for r in ("", "All rights reserved.\n")]
+    texts += [("BSD-3-Clause", f"{t}{holder}{r}{bsd % third}") for t in ("", "BSD 3-Clause License\n\n") for r in ("", "All rights reserved.\n")]
+    texts += [("ISC", f"ISC License\n\n{holder}\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_END}")]
+    texts += [("0BSD", f"BSD Zero Clause License\n\n{holder}\n{_ISC_GRANT}.\n\n{_ISC_END}")]
+    files = {"Apache-2.0": "Apache-2.0", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, file in files.items():
+        if (path := Path("/usr/share/common-licenses") / file).exists():
+            texts.append((name, path.read_text(encoding="latin-1")))
+            texts.append((name, texts[-1][1].replace("https://", "http://").replace("\n", "\r\n")))
+    got = {r["doc_id"]: r["license"] for r in scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+    assert known_digests(spark).groupBy("digest").count().where("count > 1").count() == 0
+
+
 def test_neighbours(spark):
     from palimpsest.llm.neighbours import neighbours
 
