@@ -29,12 +29,12 @@ def state_with_retractions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {m.A}, s AS (SELECT entity, source, state, epoch_us(valid_from) AS valid_from, event_id FROM a WHERE user_id % 10 = 3)
+    f"""WITH {m.A}, s AS (SELECT entity, source, state, epoch_us(valid_from) AS valid_from, event_id FROM a)
     SELECT entity, source, state, valid_from, lead(valid_from) OVER (PARTITION BY entity, source ORDER BY valid_from, event_id) AS valid_to FROM s"""
 )
 def project_fold(spark, sf_dir):
     """Upserts alone, through the ordered fold, arriving late and out of order: the segments don't depend on it."""
-    rows = m.assertions(spark, sf_dir).where("user_id % 10 = 3").select(
+    rows = m.assertions(spark, sf_dir).select(
         "entity", F.lit("upsert").alias("kind"), "source", "state", m.micros("valid_from").alias("t"), m.micros("observed_from").alias("observed"), F.col("event_id").alias("seq")
     )
     return op.project(rows)
