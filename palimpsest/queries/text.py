@@ -29,10 +29,10 @@ def mask_templates(spark, sf_dir):
     return _lines(spark, sf_dir).groupBy(fn.masked(F.col("line")).alias("template")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("errors"))
 
 
-@query(f"WITH {_LINES}, t AS (SELECT {_sql_mask('substr(line, 1, 60)')} AS template, page_id FROM l), w AS (SELECT template, count(*) AS n FROM t WHERE page_id % 2 = 0 GROUP BY 1), b AS (SELECT DISTINCT template FROM t WHERE page_id % 2 = 1) SELECT template, n FROM w WHERE template NOT IN (SELECT template FROM b)")
+@query(f"WITH {_LINES}, t AS (SELECT {_sql_mask('line')} AS template, page_id FROM l), w AS (SELECT template, count(*) AS n FROM t WHERE page_id % 2 = 0 GROUP BY 1), b AS (SELECT DISTINCT template FROM t WHERE page_id % 2 = 1) SELECT template, n FROM w WHERE template NOT IN (SELECT template FROM b)")
 def new_patterns(spark, sf_dir):
     """Templates of the even lines that no odd line has."""
-    t = _lines(spark, sf_dir).select("page_id", fn.masked(F.substring("line", 1, 60)).alias("template"))
+    t = _lines(spark, sf_dir).select("page_id", fn.masked(F.col("line")).alias("template"))
     return t.where("page_id % 2 = 0").groupBy("template").agg(F.count(F.lit(1)).alias("n")).join(t.where("page_id % 2 = 1").select("template"), "template", "left_anti")
 
 

@@ -32,3 +32,12 @@ def test_project_fold_has_every_entity(spark):
     plain = lambda x: x and x.replace(tzinfo=None)
     assert {(r[0], r[1], r[2], plain(r[3]), plain(r[4])) for r in got} == {(*x[:3], plain(x[3]), plain(x[4])) for x in want}
     assert len(got) == len(want)
+
+
+def test_new_patterns_are_of_the_whole_line(spark, tmp_path):
+    """What is new stands after the first 60 characters."""
+    long = "https://example.org/" + "a" * 60
+    pages = [(i, f"{long} {'retried' if i in (2, 4, 8) else 'once'}") for i in range(20)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in QUERIES["new_patterns"](spark, str(tmp_path)).collect()]
+    assert got == [("GET <url> retried took <dur> from <ip> at <ts> status <num>", 3)]
