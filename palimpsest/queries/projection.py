@@ -93,10 +93,10 @@ def provenance(spark, sf_dir):
 _FACETS = "service,workload,database,cluster"
 
 
-@query(f"WITH {m.A} SELECT entity, string_agg(DISTINCT f, ',' ORDER BY f) AS facets, list_extract(['service', 'workload', 'database', 'cluster'], CAST(min(list_position(['service', 'workload', 'database', 'cluster'], f)) AS BIGINT)) AS type FROM (SELECT entity, list_extract(['cluster', 'database', 'workload', 'service'], 1 + (user_id + k % 3) % 4) AS f FROM a WHERE k < 60) q GROUP BY 1")
+@query(f"WITH {m.A} SELECT entity, string_agg(DISTINCT f, ',' ORDER BY f) AS facets, list_extract(['service', 'workload', 'database', 'cluster'], CAST(min(list_position(['service', 'workload', 'database', 'cluster'], f)) AS BIGINT)) AS type FROM (SELECT entity, list_extract(['cluster', 'database', 'workload', 'service'], 1 + (user_id + k % 3) % 4) AS f FROM a) q GROUP BY 1")
 def facet_precedence(spark, sf_dir):
     order, names = F.lit(_FACETS.split(",")), F.array(*(F.lit(x) for x in reversed(_FACETS.split(","))))
-    rows = m.assertions(spark, sf_dir).where("k < 60").select("entity", F.get(names, ((F.col("user_id") + F.col("k") % 3) % 4).cast("int")).alias("f"))
+    rows = m.assertions(spark, sf_dir).select("entity", F.get(names, ((F.col("user_id") + F.col("k") % 3) % 4).cast("int")).alias("f"))
     out = rows.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("f")), ",").alias("facets"), F.min(F.array_position(order, F.col("f"))).alias("p"))
     return out.select("entity", "facets", F.element_at(order, F.col("p").cast("int")).alias("type"))
 

@@ -41,3 +41,17 @@ def test_new_patterns_are_of_the_whole_line(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     got = [tuple(r) for r in QUERIES["new_patterns"](spark, str(tmp_path)).collect()]
     assert got == [("GET <url> retried took <dur> from <ip> at <ts> status <num>", 3)]
+
+
+def test_facet_precedence_is_over_all_assertions(spark, tmp_path):
+    """On an entity whose facets occur in late assertions alone too."""
+    names = ["cluster", "database", "workload", "service"]
+    events = [(e["event_id"], e["user_id"], e["event_type"], e["value"], e["ts"], e["props"]) for e in rows("events")]
+    events += [(-i, 1_000_000, events[0][2], 1.0, events[0][4], re.sub("[0-9]+", str(60 + i), events[0][5], count=1)) for i in range(2)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, ts timestamp, props string").write.parquet(str(tmp_path / "events.parquet"))
+    want = defaultdict(set)
+    for _, user, *_, props in events:
+        want[f"u{user}"].add(names[(user + k({"props": props}) % 3) % 4])
+    got = {r["entity"]: (r["facets"], r["type"]) for r in QUERIES["facet_precedence"](spark, str(tmp_path)).collect()}
+    assert got == {e: (",".join(sorted(f)), max(f, key=names.index)) for e, f in want.items()}
+    assert got["u1000000"] == ("cluster,database", "database")
