@@ -55,3 +55,16 @@ def test_facet_precedence_is_over_all_assertions(spark, tmp_path):
     got = {r["entity"]: (r["facets"], r["type"]) for r in QUERIES["facet_precedence"](spark, str(tmp_path)).collect()}
     assert got == {e: (",".join(sorted(f)), max(f, key=names.index)) for e, f in want.items()}
     assert got["u1000000"] == ("cluster,database", "database")
+
+
+def test_redirects_raw_expands_every_canonical_id(spark, tmp_path):
+    spark.range(400).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    merged = {i: i - 1 - i % 3 for i in range(5, 400) if i % 5}
+    want = [(i, i) for i in range(0, 400, 5)]
+    for i in merged:
+        end = i
+        while end in merged:
+            end = merged[end]
+        want.append((end, i))
+    got = [(r["canonical"], r["id"]) for r in QUERIES["redirects_raw"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {i for _, i in got} >= set(merged)
