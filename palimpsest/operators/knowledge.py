@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from palimpsest.functions.text import tokens
 
 #: Fixed values of the scores.
 K1, B, RRF, DEPTH, BOOST = 1.2, 0.75, 60, 50, 1.5
+#: Vectors in a shard and queries in a block of a search.
+SHARD, BLOCK = 16_384, 4_096
 
 
 def _r(x: Column) -> Column:
@@ -37,15 +41,43 @@ def bm25(sections: DataFrame, query: list[str], id_: str, text: str) -> DataFram
     return joined.select(id_, score.alias("score")).where("score > 0")
 
 
+def _comparable(vectors: DataFrame, id_: str) -> DataFrame:
+    """id, embedding, _dims of the vectors that have a direction: finite components, not all zero."""
+    own = vectors.select(F.col("vec_id").cast("long").alias(id_), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("_dims"))
+    return own.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
+
+
+def _nearest(k: int):
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(vectors) and len(queries):
+            x, q = (np.stack(t["embedding"].to_numpy()) for t in (vectors, queries))
+            x, q = (y / np.abs(y).max(axis=1, keepdims=True) for y in (x, q))
+            x, q = (y / np.sqrt((y * y).sum(axis=1, keepdims=True)) for y in (x, q))
+            ids, own = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+            for at in range(0, len(q), 256):  # so that the products stay small
+                for query, score in zip(own[at : at + 256], np.round(q[at : at + 256] @ x.T, 6) + 0.0, strict=True):
+                    if len(score) > k + 1:
+                        near = np.flatnonzero(score >= np.partition(score, -k - 1)[-k - 1])
+                    else:
+                        near = np.arange(len(score))
+                    near = near[ids[near] != query]
+                    near = near[np.lexsort((ids[near], -score[near]))[:k]]
+                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near], "score": score[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+
+    return run
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank: exact cosine against a small set of queries."""
-    def norm(c):
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-
-    pairs = vectors.join(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))), F.col("vec_id") != F.col("query_id"))
-    dot = F.aggregate(F.zip_with("embedding", "_q", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "vec_id", F.round(dot / (norm(F.col("embedding")) * norm(F.col("_q"))), 6).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """query_id, vec_id, score, rank: exact cosine of every query with every vector of its length but itself, rounded to six
+    decimals, ties to the smaller vec_id. Ids are unique. Any number of queries: blocks of them meet shards of the vectors."""
+    own, asked = _comparable(vectors, "vec_id"), _comparable(queries, "query_id")
+    shards, blocks = max(1, -(-own.count() // SHARD)), max(1, -(-asked.count() // BLOCK))
+    dealt = own.withColumn("_shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asking = asked.withColumn("_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    scored = dealt.groupBy("_dims", "_shard", "_block").cogroup(asking.groupBy("_dims", "_shard", "_block")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a shard
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

@@ -68,3 +68,25 @@ def test_redirects_raw_expands_every_canonical_id(spark, tmp_path):
         want.append((end, i))
     got = [(r["canonical"], r["id"]) for r in QUERIES["redirects_raw"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and {i for _, i in got} >= set(merged)
+
+
+def test_cosine_topk_asks_with_every_twentieth_vector(spark, monkeypatch):
+    """In one shard and block, and in many."""
+    import numpy as np
+
+    from palimpsest.operators import knowledge
+
+    own = sorted((r["vec_id"], r["embedding"]) for r in rows("embeddings"))
+    ids, x = np.array([i for i, _ in own]), np.array([v for _, v in own], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = np.round(x @ x[at], 6)
+        near = [j for j in np.lexsort((ids, -score)) if j != at][:10]
+        want |= {(int(ids[at]), n + 1): (int(ids[j]), float(score[j])) for n, j in enumerate(near)}
+    assert len(want) == 10 * sum(i % 20 == 0 for i, _ in own) > 100
+    for shard, block in ((knowledge.SHARD, knowledge.BLOCK), (90, 7)):
+        monkeypatch.setattr(knowledge, "SHARD", shard)
+        monkeypatch.setattr(knowledge, "BLOCK", block)
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in QUERIES["cosine_topk"](spark, SF).collect()}
+        assert got == want
