@@ -10,7 +10,7 @@ from palimpsest.llm.common import durable
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for every node of edges (a, b long)."""
+    """node, component (smallest node reachable) for every node of edges (a, b of one type that has an order)."""
     links = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct(), "links")
     label = None
     while not links.isEmpty():

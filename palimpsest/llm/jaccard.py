@@ -10,9 +10,11 @@ band emits in the band below too.
 
 Any order will do, as long as it is one order: keys that many sets have come late, the most frequent last but for empty
 chunks, so that a passage which many documents share joins only those that hardly have anything else. Equal sets count
-once. Sets with a key in common are compared with one of them first, which in the second round is the one that has the
-most links so far; links make components; what then shares keys across components is compared pair by pair. A comparison first takes small dense parity sketches, whose Hamming
-distance rules most pairs out, then the shingle hashes of the whole texts.
+once. Sets with a key in common are compared with one of them first, the one that shares most keys with others, as the
+text that copies were made of does; links make components. A set outside that one's component then meets the others of
+its keys, and a pair is made of them only if small dense parity sketches, whose Hamming distance is a lower bound of the
+sets' difference, allow a link. Those pairs are compared by the shingle hashes of the whole texts. Keys of many sets go
+through the join in blocks, so no task has all sets of a key.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import durable, packed, partitions, unpacked
@@ -31,16 +33,16 @@ WORDS, PERCENT = 5, 80
 #: Sizes from 2 ** k to 2 ** (k + 1) - 1 are a band; its layout has a fifth more chunks than its largest sets may differ in.
 BAND = 2
 #: Texts of so many bytes are worked on at a time.
-SLICE = 1 << 20
-#: So many texts' keys are combined at a time.
-BLOCK = 10_000
+SLICE = 1 << 18
+#: Keys are counted in blocks of COUNTED, and combined before they leave a task in blocks of KEYS; a batch of them has at most ROWS.
+COUNTED, KEYS, ROWS = 2_500_000, 600_000, 50_000
 #: Up to so many classes the texts to compare are found by a broadcast of their ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Keys that a block of texts has more than once are frequent, and so many of them, the most frequent, come late in the
 #: order (16 bytes each). This changes what is compared, never what is found.
 MOST_FREQUENT = 1_000_000
-#: Rounds of comparing with one set of each key.
-ROUNDS = 2
+#: Sets of one key meet in blocks of so many.
+MEET = 2_000
 
 
 def differing(n, percent: int = PERCENT):
@@ -93,18 +95,21 @@ def emitted(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent:
 
 
 def dense(hashes: np.ndarray) -> np.ndarray:
-    """A parity sketch of 4 to 8 bits a shingle, a power of two, as bytes."""
-    bits = max(64, 1 << (4 * max(1, len(hashes)) - 1).bit_length())
-    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+    """A parity sketch of 4 to 8 bits a shingle, as many for all sets of a band, as 64-bit words."""
+    bits = max(64, BAND ** (max(1, len(hashes)).bit_length() + 2))
+    odd = (np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> int:
-    """Distance of two dense sketches: the longer one folds, as parities add up."""
-    while len(a) != len(b):
-        if len(a) < len(b):
-            a, b = b, a
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+def folded(sketch: Column) -> Column:
+    """The sketch with half the bits, as sets of the band below have it: parities add up."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.when(F.size(sketch) < 2, sketch).otherwise(F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda p, q: p.bitwiseXOR(q)))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Hamming distance of two dense sketches of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda x, y: x + y)
 
 
 def _slices(batch: pa.RecordBatch, column: int):
@@ -121,22 +126,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _blocks(batches):
-    """Batches in runs of about BLOCK rows: what is combined before it leaves a task."""
-    batches, rows = iter(batches), 0
-
-    def run(first):
-        nonlocal rows
-        rows = first.num_rows
-        yield first
-        while rows < BLOCK and (b := next(batches, None)) is not None:
-            rows += b.num_rows
-            yield b
-
-    while (first := next(batches, None)) is not None:
-        yield run(first)
-
-
 def _sets(batch: pa.RecordBatch, words: int):
     """For each slice of a batch: its doc_ids, and hashes, bounds, n, h1, h2 of its texts' sets."""
     for b in _slices(batch, 1):
@@ -165,13 +154,9 @@ def _counted(words: int, percent: int):
     """doc_id, n, h1, h2 of every text; on a block's last row the keys that several of its sets have, and how many."""
 
     def run(batches):
-        for block in _blocks(batches):
-            seen, keys, parts = set(), [np.empty(0, dtype=np.uint64)], []
-            for ids, hashes, bounds, n, h1, h2 in (x for batch in block for x in _sets(batch, words)):
-                for i in _fresh(seen, h1, h2, n):
-                    own = hashes[bounds[i] : bounds[i + 1]]
-                    keys += [chunk_keys(own, band, percent)[0] for band in bands(len(own), percent)] if differing(len(own), percent) else []
-                parts.append((ids, n, h1, h2))
+        seen, keys, parts, held = set(), [np.empty(0, dtype=np.uint64)], [], 0
+
+        def block():
             key, count = np.unique(np.concatenate(keys), return_counts=True)
             key, count = key[count > 1], count[count > 1]
             for j, (ids, n, h1, h2) in enumerate(parts):
@@ -181,6 +166,19 @@ def _counted(words: int, percent: int):
                 lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (_signed(key if last else key[:0]), pa.array(count if last else count[:0]))]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), _signed(h1), _signed(h2), *lists], names=["doc_id", "n", "h1", "h2", "keys", "counts"])
 
+        for ids, hashes, bounds, n, h1, h2 in (x for batch in batches for x in _sets(batch, words)):
+            for i in _fresh(seen, h1, h2, n):
+                own = hashes[bounds[i] : bounds[i + 1]]
+                for band in bands(len(own), percent) if differing(len(own), percent) else []:
+                    keys.append(chunk_keys(own, band, percent)[0])
+                    held += len(keys[-1])
+            parts.append((ids, n, h1, h2))
+            if held >= COUNTED:
+                yield from block()
+                seen, keys, parts, held = set(), keys[:1], [], 0
+        if parts:
+            yield from block()
+
     return run
 
 
@@ -195,25 +193,39 @@ def _emitting(words: int, percent: int, late):
     """
 
     def run(batches):
-        for block in _blocks(batches):
-            seen, keys, c, n, own = set(), [np.empty(0, dtype=np.uint64)], [], [], []
-            for _, hashes, bounds, size, h1, h2 in (x for batch in block for x in _sets(batch, words)):
-                for i in _fresh(seen, h1, h2, size):
-                    given = emitted(hashes[bounds[i] : bounds[i + 1]], *late.value, percent)
-                    keys.append(given)
-                    c.append(np.full(len(given), h1[i]))
-                    n.append(np.full(len(given), size[i]))
-                    own.append(np.arange(len(given)) <= int(differing(int(size[i]), percent)))
-            if not c:
-                continue
-            key, c, n, own = np.concatenate(keys).view(np.int64), np.concatenate(c).view(np.int64), np.concatenate(n), np.concatenate(own)
-            order = np.lexsort((c, key))
-            key, c, n, own = key[order], c[order], n[order], own[order]
+        seen, keys, owns, c, n, held = set(), [], [], [], [], 0
+
+        def block():
+            of = np.argsort(np.array(c, dtype=np.int64))
+            rank = np.empty(len(of), dtype=np.int32)
+            rank[of] = np.arange(len(of), dtype=np.int32)
+            key, own = np.concatenate(keys).view(np.int64), np.concatenate(owns)
+            at = np.repeat(rank, [len(k) for k in keys])
+            order = np.lexsort((at, key))
+            key, at, own = key[order], at[order], own[order]
             same = key[1:] == key[:-1]
             kind = np.full(len(key), _HUB, dtype=np.int32)
             kind[:-1][same] = _SHARED_HUB
             kind[1:][same] = _MORE
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(n.astype(np.int32)), pa.array(own), pa.array(kind)], names=["key", "c", "n", "own", "kind"])
+            classes, sizes = np.array(c, dtype=np.int64)[of], np.array(n, dtype=np.int32)[of]
+            for i in range(0, len(key), ROWS):
+                some = slice(i, i + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[some], classes[at[some]], sizes[at[some]], own[some], kind[some])], names=["key", "c", "n", "own", "kind"])
+
+        for _, hashes, bounds, size, h1, h2 in (x for batch in batches for x in _sets(batch, words)):
+            for i in _fresh(seen, h1, h2, size):
+                given = emitted(hashes[bounds[i] : bounds[i + 1]], *late.value, percent)
+                if len(given):
+                    keys.append(given)
+                    owns.append(np.arange(len(given)) <= int(differing(int(size[i]), percent)))
+                    c.append(int(h1[i : i + 1].view(np.int64)[0]))
+                    n.append(int(size[i]))
+                    held += len(given)
+            if held >= KEYS:
+                yield from block()
+                seen, keys, owns, c, n, held = set(), [], [], [], [], 0
+        if keys:
+            yield from block()
 
     return run
 
@@ -242,62 +254,97 @@ def _repeated(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[due]) for x in columns], names=names)
 
 
-def _content(words: int):
-    """h1, h2, n, dense sketch and hashes of every text's set."""
+def _content(words: int, whole: bool):
+    """h1, h2, n of every text's set, and its hashes if `whole`, else its dense sketch."""
 
     def run(batches):
         for batch in batches:
             for _, hashes, bounds, n, h1, h2 in _sets(batch, words):
                 own = [hashes[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                columns = [_signed(h1), _signed(h2), pa.array(n), pa.array([dense(x).tobytes() for x in own], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "n", "sketch", "hashes"])
+                last = pa.array([x.astype("<u8").tobytes() for x in own], pa.binary()) if whole else pa.array([dense(x) for x in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(n), last], names=["h1", "h2", "n", "hashes" if whole else "sketch"])
 
     return run
 
 
-def _pairs_where(test):
-    """(a, b) of the rows (a, b, na, nb, x, y) that pass a test of (na, nb, x, y)."""
+def _linked(percent: int):
+    """Of rows (a, b, ha, hb, na, nb, x, y) the first four, where the sets of hashes x and y link."""
+
+    def test(na, nb, x, y) -> bool:
+        x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+        both = int((y[np.minimum(np.searchsorted(y, x), nb - 1)] == x).sum())
+        return 100 * both >= percent * (na + nb - both)
 
     def run(batches):
         for b in batches:
-            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            ok = [test(i, j, x.as_buffer(), y.as_buffer()) for i, j, x, y in zip(na.tolist(), nb.tolist(), b.column(4), b.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            na, nb = b.column(4).to_pylist(), b.column(5).to_pylist()
+            ok = [test(i, j, x.as_buffer(), y.as_buffer()) for i, j, x, y in zip(na, nb, b.column(6), b.column(7), strict=True)]
+            yield b.select(["a", "b", "ha", "hb"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _near(percent: int):
-    def test(na, nb, x, y) -> bool:
-        return hamming(np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)) <= (na + nb) * (100 - percent) // (100 + percent)
+class _Texts:
+    """The sets of some classes, worked out again from the texts that have them."""
 
-    return test
+    def __init__(self, docs: DataFrame, rows: DataFrame, words: int, percent: int):
+        self.docs, self.rows, self.words, self.percent = docs, rows, words, percent
 
+    def of(self, wanted: DataFrame, whole: bool) -> DataFrame:
+        """h1, h2, n and hashes or sketch of the classes with the hashes h1 of `wanted`, a row each. One text is read of each class."""
+        ids = durable(self.rows.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "jaccard-ids")
+        some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        kind = "hashes binary" if whole else "sketch array<long>"
+        found = self.docs.join(some, self.docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi").mapInArrow(_content(self.words, whole), f"h1 long, h2 long, n long, {kind}")
+        return durable(found.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"]), "jaccard-sets")
 
-def _linked(percent: int):
-    def test(na, nb, x, y) -> bool:
-        x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-        both = int((y[np.minimum(np.searchsorted(y, x), nb - 1)] == x).sum())
-        return 100 * both >= percent * (na + nb - both)
+    def links(self, pairs: DataFrame, near: bool) -> DataFrame:
+        """The links among the pairs (a, b: class hashes h1), as pairs of (h1, h2): one hash of 64 bits doesn't tell 10 ** 10 texts apart.
+
+        near: their dense sketches have allowed it already.
+        """
+        wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+        if not near:
+            x, y = self._ends(self.of(wanted, False), "sketch")
+            both = pairs.join(x, "a").join(y, "b")
+            longer, shorter = F.size("x") > F.size("y"), F.size("y") > F.size("x")
+            pairs = durable(both.where(distance(F.when(longer, folded(F.col("x"))).otherwise(F.col("x")), F.when(shorter, folded(F.col("y"))).otherwise(F.col("y"))) <= most_apart(F.col("na"), F.col("nb"), self.percent)).select("a", "b").distinct(), "jaccard-near")
+            wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+        x, y = self._ends(self.of(wanted, True), "hashes")
+        found = pairs.join(x, "a").join(y, "b").select("a", "b", "ha", "hb", "na", "nb", "x", "y").mapInArrow(_linked(self.percent), "a long, b long, ha long, hb long")
+        return durable(found.select(_class("a", "ha").alias("a"), _class("b", "hb").alias("b")).distinct(), "jaccard-links")
 
-    return test
+    @staticmethod
+    def _ends(sets: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(sets.select(F.col("h1").alias(e), F.col("h2").alias(f"h{e}"), F.col("n").alias(f"n{e}"), F.col(column).alias(x)) for e, x in (("a", "x"), ("b", "y")))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b: class hashes) that are links. Texts are read again for the classes in question alone."""
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    ids = durable(rows.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), f"{name}-ids")
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = docs.join(some, "doc_id", "left_semi").mapInArrow(_content(words), "h1 long, h2 long, n long, sketch binary, hashes binary")
-    sets = durable(found.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"]), f"{name}-sets")
+def _class(h1: str, h2) -> Column:
+    return F.struct(F.col(h1).alias("h1"), (F.col(h2) if isinstance(h2, str) else h2).alias("h2"))
 
-    def passing(pairs: DataFrame, column: str, test, step: str) -> DataFrame:
-        a = sets.select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col(column).alias("x"))
-        b = sets.select(F.col("h1").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "x", "y")
-        return durable(both.mapInArrow(_pairs_where(test), "a long, b long"), f"{name}-{step}")
 
-    return passing(passing(pairs, "sketch", _near(percent), "near"), "hashes", _linked(percent), "links")
+def most_apart(na: Column, nb: Column, percent: int) -> Column:
+    """The most shingles in which linked sets of na and nb differ."""
+    return F.floor((na + nb) * (100 - percent) / (100 + percent))
+
+
+def _meeting(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outsiders, all) of placed (key, c, pop, k, ...), each with `key`, `i` and `j`: rows that agree on these three meet.
+
+    Outsiders aren't in the component of their key's most popular set. Every outsider meets every row of its key once:
+    outsiders are dealt to blocks i and go to all blocks j, the others the other way round, MEET rows a block on average.
+    """
+    top = placed.groupBy("key").agg(F.max(F.struct("pop", "c", "k")).getField("k").alias("hk"), F.count(F.lit(1)).alias("m"))
+    marked = placed.join(top, "key").withColumn("out", F.col("k") != F.col("hk"))
+    sizes = marked.groupBy("key").agg(F.count_if("out").alias("o"), F.first("m").alias("m")).where(F.col("o") > 0)
+    sizes = sizes.select("key", F.ceil(F.col("o") / MEET).alias("p"), F.ceil(F.col("m") / MEET).alias("q"))
+    rows = durable(marked.drop("m", "hk").join(sizes, "key"), "jaccard-marked")
+
+    def blocks(count: str) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+    i, j = F.pmod(F.xxhash64("c"), F.col("p")), F.pmod(F.xxhash64(F.lit(1), "c"), F.col("q"))
+    return rows.where("out").withColumn("i", i).withColumn("j", F.explode(blocks("q"))), rows.withColumn("j", j).withColumn("i", F.explode(blocks("p")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -320,50 +367,42 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     hubs = plain.mapInArrow(_emitting(words, percent, late), KEYED).repartition(partitions(spark), deal).sortWithinPartitions("key", "c")
     members = durable(hubs.mapInArrow(_repeated, "key long, c long, n int, own boolean").distinct(), "jaccard-members")
     rows = rows.select("doc_id", "n", "h1", "h2")
+    texts = _Texts(plain, rows, words, percent)
 
     def may(na: str, nb: str, one: str, other: str):
         """Sizes allow a link, and the layout is the one of the smaller set's band, so that a pair meets in one layout."""
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.col(one) | F.col(other))
 
-    links = tried = None
-    for turn in range(ROUNDS + 1):
-        if links is None:
-            placed = members.withColumn("k", F.col("c")).withColumn("links", F.lit(0).cast("long"))
-        else:
-            joined = components(links)
-            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-            known = durable(joined.join(ends, "node"), "jaccard-known")
-            placed = members.join(known, F.col("c") == F.col("node"), "left").select("key", "c", "n", "own", F.coalesce("component", "c").alias("k"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-        if turn:
-            mixed_keys = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-            placed = placed.join(mixed_keys, "key", "left_semi")
-        placed = durable(placed, "jaccard-placed")
-        if turn < ROUNDS:
-            best = placed.groupBy("key").agg(F.max(F.struct("links", "c", "n", "k", "own")).alias("h"))
-            hub = best.select("key", F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.k").alias("hk"), F.col("h.own").alias("ho"))
-            met = placed.join(hub, "key").where((F.col("k") != F.col("hk")) & may("n", "hn", "own", "ho"))
-            pairs = met.select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b")).distinct()
-        else:
-            x = placed.select("key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("own").alias("oa"))
-            y = placed.select("key", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("own").alias("ob"))
-            met = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & may("na", "nb", "oa", "ob"))
-            common = met.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.count(F.lit(1)).alias("common"))
-
-            def most(n):
-                return F.floor((n + F.floor(100 * n / percent)) * (100 - percent) / (100 + percent))
-
-            least = F.least(most(F.col("na")), most(F.col("nb"))) + 1 - F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
-            pairs = common.where(F.col("common") >= least).select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs, "jaccard-pairs")
-        if turn and pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = _verify(pairs, plain, rows, words, percent, "jaccard")
-        links = new if links is None else links.unionByName(new)
+    popular = members.join(members.groupBy("c").agg(F.count(F.lit(1)).alias("pop")), "c")
+    popular = durable(popular.select("key", "c", "n", "own", "pop"), "jaccard-popular")
+    hub = popular.groupBy("key").agg(F.max(F.struct("pop", "c", "n", "own")).alias("h")).select("key", F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.own").alias("ho"))
+    met = popular.join(hub, "key").where((F.col("c") != F.col("hc")) & may("n", "hn", "own", "ho"))
+    tried = durable(met.select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b")).distinct(), "jaccard-pairs")
+    links = texts.links(tried, near=False)
+
+    known = components(links).select(F.col("node.h1").alias("c"), "component")
+    placed = popular.join(known, "c", "left").select("key", "c", "n", "own", "pop", F.coalesce("component", _class("c", F.lit(0).cast("long"))).alias("k"))
+    placed = durable(placed, "jaccard-placed")
+    mixed_keys = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    placed = placed.join(mixed_keys, "key", "left_semi")
+    sketches = texts.of(placed.select(F.col("c").alias("h1")).distinct(), False).select(F.col("h1").alias("c"), "sketch")
+    placed = placed.join(sketches, "c").withColumn("sketch", F.when(F.col("own"), F.col("sketch")).otherwise(folded(F.col("sketch"))))
+    outside, every = _meeting(durable(placed, "jaccard-sketched"))
+    x = outside.select("key", "i", "j", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("own").alias("oa"), F.col("sketch").alias("x"))
+    y = every.select("key", "i", "j", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("own").alias("ob"), F.col("sketch").alias("y"), F.col("out").alias("out"))
+    once = ~F.col("out") | (F.col("a") < F.col("b"))
+    met = x.join(y, ["key", "i", "j"]).where(once & (F.col("ka") != F.col("kb")) & may("na", "nb", "oa", "ob") & (distance(F.col("x"), F.col("y")) <= most_apart(F.col("na"), F.col("nb"), percent)))
+    common = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.count(F.lit(1)).alias("common"))
+
+    def most(n):
+        return F.floor((n + F.floor(100 * n / percent)) * (100 - percent) / (100 + percent))
+
+    least = F.least(most(F.col("na")), most(F.col("nb"))) + 1 - most_apart(F.col("na"), F.col("nb"), percent)
+    pairs = durable(common.where(F.col("common") >= least).select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    links = links.unionByName(texts.links(pairs, near=True))
     classes = durable(rows.where(F.col("n") > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    of_class = classes.join(components(links), F.col("h1") == F.col("node"), "left").select("h1", "h2", "rep", F.coalesce("component", "h1").alias("k"))
+    joined = components(links).select("node.h1", "node.h2", "component")
+    of_class = classes.join(joined, ["h1", "h2"], "left").select("h1", "h2", "rep", F.coalesce("component", _class("h1", "h2")).alias("k"))
     of_class = durable(of_class, "jaccard-components")
     first = of_class.groupBy("k").agg(F.min("rep").alias("component_id"))
     placed = of_class.join(first, "k").select("h1", "h2", "component_id")
