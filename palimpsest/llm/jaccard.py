@@ -41,8 +41,8 @@ BROADCAST_IDS = 1_000_000
 #: Keys that a block of texts has more than once are frequent, and so many of them, the most frequent, come late in the
 #: order (16 bytes each). This changes what is compared, never what is found.
 MOST_FREQUENT = 1_000_000
-#: Sets of one key meet in blocks of so many.
-MEET = 2_000
+#: Sets of one key meet in blocks of so many. Those of a key of up to FEW sets meet without sketches.
+MEET, FEW = 2_000, 12
 
 
 def differing(n, percent: int = PERCENT):
@@ -95,8 +95,8 @@ def emitted(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent:
 
 
 def dense(hashes: np.ndarray) -> np.ndarray:
-    """A parity sketch of 4 to 8 bits a shingle, as many for all sets of a band, as 64-bit words."""
-    bits = max(64, BAND ** (max(1, len(hashes)).bit_length() + 2))
+    """A parity sketch of 2 to 4 bits a shingle, as many for all sets of a band, as 64-bit words."""
+    bits = max(64, BAND ** (max(1, len(hashes)).bit_length() + 1))
     odd = (np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
@@ -328,23 +328,45 @@ def most_apart(na: Column, nb: Column, percent: int) -> Column:
     return F.floor((na + nb) * (100 - percent) / (100 + percent))
 
 
-def _meeting(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(outsiders, all) of placed (key, c, pop, k, ...), each with `key`, `i` and `j`: rows that agree on these three meet.
+def _meeting(placed: DataFrame) -> DataFrame:
+    """placed (key, c, n, own, pop, k) with out, m (its key's rows), p and q, without the keys that are done.
 
-    Outsiders aren't in the component of their key's most popular set. Every outsider meets every row of its key once:
-    outsiders are dealt to blocks i and go to all blocks j, the others the other way round, MEET rows a block on average.
+    out: the set isn't in the component of its key's most popular one, with which all of the key have been compared. Keys
+    without such sets, or with two sets, are done.
     """
-    top = placed.groupBy("key").agg(F.max(F.struct("pop", "c", "k")).getField("k").alias("hk"), F.count(F.lit(1)).alias("m"))
-    marked = placed.join(top, "key").withColumn("out", F.col("k") != F.col("hk"))
+    top = placed.groupBy("key").agg(F.max(F.struct("pop", "c", "k")).getField("k").alias("hk"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 2)
+    marked = placed.join(top, "key").withColumn("out", F.col("k") != F.col("hk")).drop("pop", "hk")
     sizes = marked.groupBy("key").agg(F.count_if("out").alias("o"), F.first("m").alias("m")).where(F.col("o") > 0)
     sizes = sizes.select("key", F.ceil(F.col("o") / MEET).alias("p"), F.ceil(F.col("m") / MEET).alias("q"))
-    rows = durable(marked.drop("m", "hk").join(sizes, "key"), "jaccard-marked")
+    return durable(marked.join(sizes, "key"), "jaccard-marked")
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of the _meeting() rows of one key that may link, a row for each key: every outsider meets every row of its key once.
+
+    Outsiders are dealt to p blocks and go to all q blocks of the others, these the other way round, so a task has MEET
+    times MEET rows on average. With a column `sketch`, pairs that are too far apart by it are left out.
+    """
+    sketched = "sketch" in rows.columns
 
     def blocks(count: str) -> Column:
         return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
 
+    def side(of: DataFrame, i: Column, j: Column, c: str, *more: str) -> DataFrame:
+        return of.select("key", i.alias("i"), j.alias("j"), F.col("c").alias(c), *(F.col(x).alias(x + c) for x in ("n", "k", "own", *more)))
+
     i, j = F.pmod(F.xxhash64("c"), F.col("p")), F.pmod(F.xxhash64(F.lit(1), "c"), F.col("q"))
-    return rows.where("out").withColumn("i", i).withColumn("j", F.explode(blocks("q"))), rows.withColumn("j", j).withColumn("i", F.explode(blocks("p")))
+    more = ("sketch",) if sketched else ()
+    x, y = side(rows.where("out"), i, F.explode(blocks("q")), "a", *more), side(rows, F.explode(blocks("p")), j, "b", "out", *more)
+    allowed = (~F.col("outb") | (F.col("a") < F.col("b"))) & (F.col("ka") != F.col("kb")) & _may("na", "nb", "owna", "ownb", percent)
+    if sketched:
+        allowed &= distance(F.col("sketcha"), F.col("sketchb")) <= most_apart(F.col("na"), F.col("nb"), percent)
+    return x.join(y, ["key", "i", "j"]).where(allowed).select("a", "b", "na", "nb")
+
+
+def _may(na: str, nb: str, one: str, other: str, percent: int) -> Column:
+    """Sizes allow a link, and the layout is the one of the smaller set's band, so that a pair meets in one layout."""
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.col(one) | F.col(other))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -369,29 +391,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = rows.select("doc_id", "n", "h1", "h2")
     texts = _Texts(plain, rows, words, percent)
 
-    def may(na: str, nb: str, one: str, other: str):
-        """Sizes allow a link, and the layout is the one of the smaller set's band, so that a pair meets in one layout."""
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.col(one) | F.col(other))
-
     popular = members.join(members.groupBy("c").agg(F.count(F.lit(1)).alias("pop")), "c")
     popular = durable(popular.select("key", "c", "n", "own", "pop"), "jaccard-popular")
     hub = popular.groupBy("key").agg(F.max(F.struct("pop", "c", "n", "own")).alias("h")).select("key", F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.own").alias("ho"))
-    met = popular.join(hub, "key").where((F.col("c") != F.col("hc")) & may("n", "hn", "own", "ho"))
+    met = popular.join(hub, "key").where((F.col("c") != F.col("hc")) & _may("n", "hn", "own", "ho", percent))
     tried = durable(met.select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b")).distinct(), "jaccard-pairs")
     links = texts.links(tried, near=False)
 
     known = components(links).select(F.col("node.h1").alias("c"), "component")
     placed = popular.join(known, "c", "left").select("key", "c", "n", "own", "pop", F.coalesce("component", _class("c", F.lit(0).cast("long"))).alias("k"))
-    placed = durable(placed, "jaccard-placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    placed = placed.join(mixed_keys, "key", "left_semi")
-    sketches = texts.of(placed.select(F.col("c").alias("h1")).distinct(), False).select(F.col("h1").alias("c"), "sketch")
-    placed = placed.join(sketches, "c").withColumn("sketch", F.when(F.col("own"), F.col("sketch")).otherwise(folded(F.col("sketch"))))
-    outside, every = _meeting(durable(placed, "jaccard-sketched"))
-    x = outside.select("key", "i", "j", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("own").alias("oa"), F.col("sketch").alias("x"))
-    y = every.select("key", "i", "j", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"), F.col("own").alias("ob"), F.col("sketch").alias("y"), F.col("out").alias("out"))
-    once = ~F.col("out") | (F.col("a") < F.col("b"))
-    met = x.join(y, ["key", "i", "j"]).where(once & (F.col("ka") != F.col("kb")) & may("na", "nb", "oa", "ob") & (distance(F.col("x"), F.col("y")) <= most_apart(F.col("na"), F.col("nb"), percent)))
+    rows_met = _meeting(durable(placed, "jaccard-placed"))
+    many = rows_met.where(F.col("m") > FEW)
+    sketches = texts.of(many.select(F.col("c").alias("h1")).distinct(), False).select(F.col("h1").alias("c"), "sketch")
+    sketched = many.join(sketches, "c").withColumn("sketch", F.when(F.col("own"), F.col("sketch")).otherwise(folded(F.col("sketch"))))
+    met = _met(rows_met.where(F.col("m") <= FEW), percent).unionByName(_met(sketched, percent))
     common = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("na").alias("na"), F.min("nb").alias("nb"), F.count(F.lit(1)).alias("common"))
 
     def most(n):
