@@ -48,14 +48,16 @@ class _Memory(dict):
 
 
 class Encoder:
-    """Encodes whole texts with one vocabulary file. lower: the vocabulary lower-cases and drops white space."""
+    """Encodes whole texts with one vocabulary file, as encode(text, add_special_tokens=False) does: the names of special tokens in a text give their ids.
+
+    lower: the vocabulary lower-cases and drops white space.
+    """
 
     def __init__(self, path: str, lower: bool, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model, self.lower = self.whole.model, lower
         self.end = array("I", [end]).tobytes()
         self.first = _Memory(lambda piece: self._ids("", piece))
