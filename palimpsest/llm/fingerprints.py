@@ -2,7 +2,7 @@
 
 Every distinct shingle hash below a fixed fraction of the hash range is kept, so a sketch grows with its document, the
 sketch of a union is the union of sketches, and |A and B| / |A| on sketches estimates containment however unequal the
-two are. A text whose hashes are all above the threshold keeps its smallest one.
+two are. A text whose hashes are all above the threshold has an empty sketch, which says nothing: it is like no other.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from palimpsest.llm.common import let, partitions, range_of, ranges, word_array
 WORDS = 5
 #: One of so many hashes is kept.
 SCALE = 8
+#: Rows in a range of doc_id, on average, and the most ranges.
+ROWS, RANGES = 50_000, 20_000
 
 
 def _shingles(words: Column) -> Column:
@@ -31,13 +33,9 @@ def _shingles(words: Column) -> Column:
 
 
 def sketch(text: Column, scale: int = SCALE) -> Column:
-    """Ascending distinct shingle hashes below 2**63 / scale; the smallest one if none is; empty for a text without words."""
-
-    def of(all_hashes: Column) -> Column:
-        low = F.filter(all_hashes, lambda h: h < F.lit((1 << 63) // scale))
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(all_hashes) > 0, F.array(F.array_min(all_hashes))).otherwise(low)
-
-    return let(_shingles(word_array(F.lower(text))), of)
+    """Ascending distinct shingle hashes below 2**63 / scale; none for a text without words."""
+    low = F.filter(_shingles(word_array(F.lower(text))), lambda h: h < F.lit((1 << 63) // scale))
+    return F.array_sort(F.array_distinct(low))
 
 
 def fingerprint(of: Column) -> Column:
@@ -50,9 +48,9 @@ def shared(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketched texts, 0 to 1; 1 for two texts without words, 0 for one."""
+    """Estimated Jaccard similarity of two sketched texts, 0 to 1; 0 if either sketch is empty, as nothing in common was seen."""
     total = F.size(a) + F.size(b) - shared(a, b)
-    return F.when(total == 0, 1.0).otherwise(shared(a, b) / total)
+    return F.when(total == 0, 0.0).otherwise(shared(a, b) / total)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -102,11 +100,14 @@ def compare_with_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
     document by doc_id. docs: doc_id and text among any other columns. A null text is an empty one; rows without a
-    doc_id have no place in the order and are left out; a single document follows itself; an empty table gives no rows.
+    doc_id come as if theirs was below -2**62, by a hash of their text; a single document follows itself; an empty table
+    gives no rows.
     """
-    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(own.withColumn("sketch", sketch(F.col("text"), scale)), partitions(docs.sparkSession))
-    rows = rows.select("doc_id", "text", "sketch", "next", F.char_length("text").cast("int").alias("n"))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    place = F.coalesce("id", F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("text"), 2))
+    pieces = min(RANGES, max(partitions(docs.sparkSession), -(-docs.count() // ROWS)))
+    rows = with_next(own.select(place.alias("doc_id"), "id", "text", sketch(F.col("text"), scale).alias("sketch")), pieces)
+    rows = rows.select(F.col("id").alias("doc_id"), "text", "sketch", "next", F.char_length("text").cast("int").alias("n"))
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), F.substring(F.col("next.text"), F.lit(1), half))
     rows = rows.select("doc_id", "n", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
