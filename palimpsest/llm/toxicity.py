@@ -4,6 +4,9 @@ P(grade > k) = sigmoid(w . x - t_k): one weight vector for all thresholds t_0 <
 threshold alike. Features are the distinct words of a text and their 4 to 6 letter beginnings, hashed; a text's vector
 has 1 for each feature that it has, whatever its length. The model is fitted here, on a bounded sample of labelled
 documents; counts of features come from that sample alone, and every document of the corpus is scored.
+
+Where labels only say toxic or not, degrees come from held-out counts: the sample falls into two halves, each finds the
+features that tell toxic texts, and a toxic text of the other half with more of them than the median has grade 2.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from palimpsest.llm.common import durable, packed, unpacked
 
 #: At most so many labelled documents are fitted on: those with the smallest hashes of doc_id, half of them toxic if there are.
 SAMPLE = 8_000
-#: At most so many features carry a weight.
-FEATURES = 4_096
+#: At most so many grades are told apart.
+GRADES = 100
 #: A feature whose count differs between clean and toxic documents by less (chi squared, one degree of freedom) is chance.
 CHI = 20.0
 #: A feature must be in at least 5 documents of the sample, and in as many as this share of its toxic ones.
@@ -32,8 +35,6 @@ SUPPORT = 0.01
 RATIO = 4.0
 #: A feature is one of so many buckets.
 BUCKETS = (1 << 31) - 1
-#: A toxic text of more characters than this has grade 2.
-LONG = 2_000
 #: A document is rejected from this expected severity on.
 REJECT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
@@ -88,32 +89,59 @@ def _features(batches):
         yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "features": [sorted(buckets(t)) for t in b["text"]]})
 
 
-def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE, features: int = FEATURES) -> pd.DataFrame:
-    """doc_id, grade, features of at most `size` graded documents: of each grade the smallest hashes, grades in equal shares where there are enough.
+def _telling(counts: DataFrame, every: int, positive: int, all_: str, pos: str, least: float) -> DataFrame:
+    """f, up (it is a sign of toxic texts) of the features that tell grade 0 from the others by chi squared of at least CHI, RATIO times as likely in one of them."""
+    with_, without = F.col(pos).cast("double"), F.col(all_) - F.col(pos).cast("double")
+    cross = with_ * (every - positive - without) - without * (positive - with_)
+    chi = F.try_divide(every * cross * cross, F.lit(float(positive)) * (every - positive) * F.col(all_) * (every - F.col(all_)))
+    times = ((with_ + 0.5) / (positive + 1)) / ((without + 0.5) / (every - positive + 1))
+    found = counts.where((F.col(all_) >= max(5, least)) & (F.col(all_) < every)).select("f", F.round(chi, 6).alias("chi"), times.alias("times"))
+    return found.where((F.col("chi") >= CHI) & ((F.col("times") >= RATIO) | (F.col("times") <= 1 / RATIO))).select("f", (F.col("times") > 1).alias("up"))
+
+
+def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE) -> pd.DataFrame:
+    """doc_id, grade, features, signs of at most `size` graded documents: of each grade the smallest hashes, grades in equal shares where there are enough.
 
-    Of a document's features those are kept that are among the `features` that tell grade 0 from the others most, by chi
-    squared of at least CHI, and RATIO times as likely in one of them; counting and choosing are aggregates over the sample.
+    Of a document's features those are kept that tell grade 0 from the others; each is in SUPPORT of the sample's toxic
+    texts, so they are no more than the sample's words over that. signs: how many features the document has that are
+    signs of toxic texts in the other half of the sample. Counting and choosing are aggregates over the sample.
+    A document with several grades has the highest. More than GRADES grades are an error.
     """
     spark = docs.sparkSession
     known = grades.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select(F.col("doc_id").cast("long"), F.col("grade").cast("int"))
     known = known.groupBy("doc_id").agg(F.max("grade").alias("grade")).withColumn("h", F.xxhash64("doc_id"))
-    per = [r["grade"] for r in known.select("grade").distinct().limit(100).collect()]
+    per = [r["grade"] for r in known.select("grade").distinct().limit(GRADES + 1).collect()]
+    if len(per) > GRADES:
+        raise ValueError(f"more than {GRADES} grades")
     picked = [known.where(F.col("grade") == g).orderBy("h", "doc_id").limit(size // max(1, len(per))) for g in sorted(per)]
     ids = spark.createDataFrame([r for p in picked for r in p.select("doc_id", "grade").collect()], "doc_id long, grade int")
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
     rows = durable(plain.mapInPandas(_features, "doc_id long, grade int, features array<int>"), "toxicity-sample")
     # Copies of one text aren't independent evidence: of texts with the same four smallest hashes in common one stays.
-    rows = durable(rows.withColumn("_four", F.slice("features", 1, 4)).groupBy("grade", "_four").agg(F.min(F.struct("doc_id", "features")).alias("r")).select("r.doc_id", "grade", "r.features"), "toxicity-distinct")
-    n, positive = rows.agg(F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
-    counts = rows.select("grade", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("grade") > 0).alias("pos")).where(F.col("all") >= max(5, SUPPORT * positive))
-    with_, without = F.col("pos").cast("double"), F.col("all") - F.col("pos").cast("double")
-    cross = with_ * (n - positive - without) - without * (positive - with_)
-    chi = n * cross * cross / (F.lit(float(positive)) * (n - positive) * F.col("all") * (n - F.col("all")))
-    times = ((with_ + 0.5) / (positive + 1)) / ((without + 0.5) / (n - positive + 1))
-    telling = (F.col("all") < n) & ((times >= RATIO) | (times <= 1 / RATIO))
-    best = counts.where(telling).select("f", F.round(chi, 6).alias("chi")).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "f").limit(features)
-    chosen = F.lit(sorted(r["f"] for r in best.collect())).cast("array<int>")  # at most `features` numbers
-    return rows.select("doc_id", "grade", F.array_intersect("features", chosen).alias("features")).toPandas().sort_values("doc_id", ignore_index=True)
+    alike = F.when(F.size("features") > 0, F.slice("features", 1, 4)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")))
+    first = rows.groupBy("grade", alike.alias("alike")).agg(F.min(F.struct("doc_id", "features")).alias("r"))
+    rows = durable(first.select("r.doc_id", "grade", "r.features", F.pmod(F.xxhash64("alike"), F.lit(2)).alias("half")), "toxicity-distinct")
+    toxic, own = F.col("grade") > 0, [F.col("half") == h for h in (0, 1)]
+    total = rows.agg(*(F.count_if(own[h]).alias(f"n{h}") for h in (0, 1)), *(F.count_if(own[h] & toxic).alias(f"p{h}") for h in (0, 1))).first()
+    each = rows.select("grade", "half", F.explode("features").alias("f")).groupBy("f")
+    counts = each.agg(*(F.count_if(own[h]).alias(f"all{h}") for h in (0, 1)), *(F.count_if(own[h] & toxic).alias(f"pos{h}") for h in (0, 1)))
+    counts = durable(counts.where(F.col("all0") + F.col("all1") >= 5).withColumn("all", F.col("all0") + F.col("all1")).withColumn("pos", F.col("pos0") + F.col("pos1")), "toxicity-counts")
+    positive = total["p0"] + total["p1"]
+    best = [r["f"] for r in _telling(counts, total["n0"] + total["n1"], positive, "all", "pos", SUPPORT * positive).collect()]
+    signs = [[r["f"] for r in _telling(counts, total[f"n{h}"], total[f"p{h}"], f"all{h}", f"pos{h}", SUPPORT * total[f"p{h}"]).where("up").collect()] for h in (0, 1)]
+
+    def among(found: list[int]):
+        return F.array_intersect("features", F.lit(sorted(found)).cast("array<int>"))
+
+    held_out = F.when(own[0], F.size(among(signs[1]))).otherwise(F.size(among(signs[0])))
+    return rows.select("doc_id", "grade", among(best).alias("features"), held_out.alias("signs")).toPandas().sort_values("doc_id", ignore_index=True)
+
+
+def by_signs(rows: pd.DataFrame) -> pd.DataFrame:
+    """sample() rows of grades 0 and 1 with grade 2 for those of grade 1 that have more signs than their median."""
+    toxic = rows["grade"] > 0
+    middle = rows.loc[toxic, "signs"].median() if toxic.any() else 0
+    return rows.assign(grade=rows["grade"].where(~toxic | (rows["signs"] <= middle), 2))
 
 
 def fit(rows: pd.DataFrame, rounds: int = 800, rate: float = 0.1, penalty: float = 1e-5) -> Model:
@@ -148,15 +176,9 @@ def fit(rows: pd.DataFrame, rounds: int = 800, rate: float = 0.1, penalty: float
     return Model(names, w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
-def graded(labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, grade from the 0/1 label `toxic`: 0 clean, 1 toxic, 2 toxic with much abuse.
-
-    The labels know no degrees. A toxic text of more than LONG characters, in which the same rate of abuse makes more of
-    it, counts as the graver. Any table of doc_id and grade can stand in for this one.
-    """
-    long = docs.select(F.col("doc_id").cast("long"), (F.char_length("text") > LONG).alias("long")).groupBy("doc_id").agg(F.max("long").alias("long"))
-    own = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return durable(own.join(long, "doc_id").select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("long"), 2).otherwise(1).alias("grade")), "grades")
+def graded(labels: DataFrame) -> DataFrame:
+    """doc_id, grade from the 0/1 label `toxic`. Any table of doc_id and grade can stand in for this one."""
+    return labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("grade"))
 
 
 def score(rows: DataFrame, model: Model, keep: list[str], clean_only: bool = False, reject: float = REJECT) -> DataFrame:
@@ -182,8 +204,8 @@ def score(rows: DataFrame, model: Model, keep: list[str], clean_only: bool = Fal
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model fitted on the labelled documents."""
-    return fit(sample(docs, graded(labels, docs)))
+    """A model fitted on the labelled documents, with the degrees of by_signs()."""
+    return fit(by_signs(sample(docs, graded(labels))))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

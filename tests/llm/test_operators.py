@@ -31,9 +31,7 @@ def empty(spark):
 
 
 def ids(path, text, end):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(tokens):
@@ -59,7 +57,7 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert "tokens" not in op.read_metadata(spark, path).columns
 
 
-@pytest.mark.parametrize("text", ["  a  b\n c\t d \n\n e ", "don't 'tis I'll", " ", "\n", "a\x1cb \x1c c", "Σας ΟΔΟΣ x ́y", "漢字 🙂🙂 x1y2 3.14", "<|endoftext|> a<|startoftext|>", "a\r\n b", "A.\nB c,\nd"])
+@pytest.mark.parametrize("text", ["  a  b\n c\t d \n\n e ", "don't 'tis I'll", " ", "\n", "a\x1cb \x1c c", "Σας ΟΔΟΣ x ́y", "漢字 🙂🙂 x1y2 3.14", "<|endoftext|> a<|startoftext|>", "a <|endoftext|> b", "x<|endoftext|>\n<|startoftext|>y, <|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "a\r\n b", "A.\nB c,\nd"])
 def test_encoder_is_the_library(text):
     from palimpsest.llm.encoding import Encoder
 
@@ -176,26 +174,61 @@ def test_jaccard_large_groups(spark, monkeypatch, bits):
     assert got == {d: least[find(i)] for i, (d, _) in enumerate(rows) if d is not None}
 
 
-def test_fingerprints(docs, rows, empty):
-    from palimpsest.llm.fingerprints import compare_with_edits
+MASK = (1 << 64) - 1
 
-    got = sorted(compare_with_edits(docs).collect(), key=lambda r: r["doc_id"])
-    assert len(got) == len(rows)
+
+def xx64(data, seed):
+    """XXH64 of the library, as signed."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_sketch(text, scale):
+    """The fingerprint by plain Python: words' hashes, hashes of runs of five of them, all below the threshold."""
+    from palimpsest.llm.common import SPACE
+
+    words = [w for w in text.lower().translate({ord(c): " " for c in SPACE}).split(" ") if w]
+    own = [xx64(w.encode(), 42) for w in words]
+
+    def run(hashes):
+        seed = 42
+        for h in hashes:
+            seed = xx64((h & MASK).to_bytes(8, "little"), seed & MASK)
+        return (seed & MASK) >> 1
+
+    found = {run(own[i : i + 5]) for i in range(len(own) - 4)} if len(own) >= 5 else ({run(own)} if own else set())
+    return sorted(h for h in found if h < (1 << 63) // scale)
+
+
+def test_fingerprints(spark, docs, rows, empty):
+    from palimpsest.llm.fingerprints import SCALE, compare_with_edits
+
+    more = [(None, "without an id, " + "abc def " * 9, None, "s", 1, 1, None, None, 1, "k"), (None, None, None, None, None, None, None, None, None, None)]
+    got = compare_with_edits(docs.unionByName(spark.createDataFrame(more, SCHEMA))).collect()
+    assert len(got) == len(rows) + 2 and sum(r["doc_id"] is None for r in got) == 2
     plain = {r[0]: r[1] or "" for r in rows}
-    prints = defaultdict(set)
-    order = sorted(plain)
+    order, like = sorted(plain), lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    prints = {d: set(plain_sketch(t, SCALE)) for d, t in plain.items()}
     for r in got:
+        if r["doc_id"] is None:
+            continue
         text = plain[r["doc_id"]]
         half = len(text) // 2
         repeated = sum(x[0] == r["doc_id"] for x in rows) > 1
+        last = r["doc_id"] == order[-1]
         after = order[(order.index(r["doc_id"]) + 1) % len(order)]
-        options = {plain[after]} | ({text} if repeated else set())
+        options = {plain[after]: prints[after]} | ({text: prints[r["doc_id"]]} if repeated else {})
+        if last:  # what has no id comes first
+            options = {t: set(plain_sketch(t, SCALE)) for t in (more[0][1], "")}
         assert r["n_chars"] == len(text)
-        assert r["edited_sha256"] in {hashlib.sha256((text[: len(text) - half] + o[:half]).encode()).hexdigest() for o in options}
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        prints[text].add(r["fingerprint"])
-    assert all(len(p) == 1 for p in prints.values())
-    assert prints[""] == {""}
+        edits = {hashlib.sha256((e := text[: len(text) - half] + o[:half]).encode()).hexdigest(): (e, p) for o, p in options.items()}
+        edited, follower = edits[r["edited_sha256"]]
+        own, edited = prints[r["doc_id"]], set(plain_sketch(edited, SCALE))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{h:016x}" for h in sorted(p)) for p in (own, edited))
+        assert r["near_edited"] == pytest.approx(like(own, edited))
+        assert any(r["near_next"] == pytest.approx(like(own, p)) for p in ([follower] if len(edits) == len(options) else options.values()))
     assert compare_with_edits(empty).count() == 0
 
 
@@ -415,25 +448,40 @@ def test_neighbours(spark):
     assert neighbours(df.limit(0)).count() == 0
 
 
-def test_neighbours_recall_holds_at_many_vectors(spark, tmp_path):
-    """Ten shards, where each search sees a part of every one."""
+def test_neighbours_recall_holds_at_many_vectors(spark, tmp_path, monkeypatch):
+    """Random vectors, the hardest: what prefix ranges hold is enough, a small part of all, and many ranges, parts and blocks give what one does."""
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    from palimpsest.llm.neighbours import neighbours
+    from palimpsest.llm import neighbours as op
 
-    n, every = 150_000, 1_000
+    n, every = 50_000, 500
     x = np.random.default_rng(8).normal(size=(n, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(x.ravel()))
     pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists}), tmp_path / "v.parquet")
-    got = defaultdict(set)
-    for r in neighbours(spark.read.parquet(str(tmp_path / "v.parquet")), every=every).collect():
+    found = op.neighbours(spark.read.parquet(str(tmp_path / "v.parquet")), every=every).collect()
+    got, looked = defaultdict(set), defaultdict(set)
+    for r in found:
         got[r["query_id"]].add(r["vec_id"])
+        looked[r["query_id"]].add(r["looked_at"])
     score = x[::every] @ x.T
     score[np.arange(n // every), np.arange(0, n, every)] = -np.inf
     best = np.argpartition(-score, 20, axis=1)[:, :20]
-    assert np.mean([len(got[q * every] & set(b.tolist())) / 20 for q, b in enumerate(best)]) >= 0.95
+    assert np.mean([len(got[q * every] & set(b.tolist())) / 20 for q, b in enumerate(best)]) >= 0.92
+    assert np.mean([sum(s) for s in looked.values()]) < 0.1 * n
+
+
+def test_neighbours_in_pieces(spark, monkeypatch):
+    """Ranges, parts, blocks and shards are where the work is done; results don't depend on them."""
+    from palimpsest.llm import neighbours as op
+
+    x = np.random.default_rng(3).normal(size=(3000, 12)) + 2 * (np.arange(3000) % 3 == 0)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    whole = sorted(tuple(r)[:4] for r in op.neighbours(df).collect())
+    for name, value in (("RANGE", 150), ("BLOCK", 17), ("SHARD", 400), ("ASKING", 11), ("TOGETHER", 900)):
+        monkeypatch.setattr(op, name, value)
+    assert sorted(tuple(r)[:4] for r in op.neighbours(df).collect()) == whole
 
 
 def test_toxicity(spark, docs, rows, empty):
@@ -462,6 +510,33 @@ def test_toxicity(spark, docs, rows, empty):
     assert op.toxic_scores(df, labels.limit(0)).where("toxic").count() == 0
 
 
+def test_severity_orders_texts(spark):
+    """Labels say toxic or not; the texts with more abuse get the higher grades and severity, whatever their length."""
+    from palimpsest.llm import toxicity as op
+
+    rng = np.random.default_rng(9)
+    plain = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(300)]
+    abuse = ["moron", "idiot", "loweichen", "wretch", "scumbag", "dimwit"]
+    texts, much = [], []
+    for i in range(1500):
+        own = list(rng.choice(plain, int(rng.integers(20, 200))))
+        n = int(rng.integers(1, 6)) if i % 3 == 0 else 0
+        own += list(rng.choice(abuse, n, replace=False))
+        rng.shuffle(own)
+        texts.append(" ".join(own))
+        much.append(n)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(m > 0)) for i, m in enumerate(much) if i % 2], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in op.toxic_scores(df, labels).collect()}
+    held = [i for i in range(1500) if i % 2 == 0]
+    mean = [np.mean([got[i]["severity"] for i in held if much[i] == n]) for n in range(6)]
+    assert mean[0] < 0.2 and all(a < b for a, b in zip(mean[1:], mean[2:], strict=False)) and mean[5] > 1.5
+    long = [i for i in held if much[i] and len(texts[i]) > 800]
+    short = [i for i in held if much[i] and len(texts[i]) <= 800]
+    assert abs(np.mean([got[i]["severity"] - mean[much[i]] for i in long]) - np.mean([got[i]["severity"] - mean[much[i]] for i in short])) < 0.15
+    assert {got[i]["grade"] for i in held if much[i] >= 4} == {2} and {got[i]["grade"] for i in held if not much[i]} == {0}
+
+
 def test_cumulative_links_share_weights():
     import pandas as pd
 
