@@ -101,9 +101,21 @@ def term_key(*fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*fields)), 256)
 
 
+#: Last labels of host names inside a network.
+INTERNAL = ("local", "localdomain", "internal", "intranet", "lan", "home", "arpa", "cluster", "svc")
+
+
 def short_host(host: Column) -> Column:
-    """The first label of a host name; an address stays whole."""
-    return F.when(host.rlike(r"^\d+\.\d+\.\d+\.\d+$"), host).otherwise(F.element_at(F.split(host, r"\."), 1))
+    """What a host is called: the first label of a name inside the network, the last but one of a public name, an address whole.
+
+    Case, a port, brackets and a last dot don't count. Null and blank give an empty name.
+    """
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(host, F.lit("")))), r"\.$", "")
+    name = F.when(bare.rlike(r"^\[.*\](:[^:]*)?$"), F.regexp_extract(bare, r"^\[(.*)\]", 1)).otherwise(F.regexp_replace(bare, r"^([^:]+):[^:]*$", "$1"))
+    labels = F.split(name, r"\.")
+    inside = F.element_at(labels, -1).isin(*INTERNAL) | F.array_contains(labels, "svc")
+    address = name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | name.contains(":")
+    return F.when(address, name).when((F.size(labels) < 2) | inside, F.element_at(labels, 1)).otherwise(F.try_element_at(labels, F.lit(-2)))
 
 
 def pieces(text: Column, most: int) -> Column:

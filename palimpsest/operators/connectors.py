@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palimpsest.functions.text import short_host
+
 
 def snapshot_changes(views: DataFrame, key: str, order: list[str], fields: dict[str, str]) -> DataFrame:
     """One row a field that differs from the key's previous view: key, order columns, kind (of the field), old, new."""
@@ -29,17 +31,23 @@ def silence(polls: DataFrame, sightings: DataFrame, after: int) -> DataFrame:
     polls: poll, complete; sightings: entity, poll. A partial poll counts for nothing.
     """
     last = sightings.groupBy("entity").agg(F.max("poll").alias("valid_end"))
-    numbered = polls.where("complete").select("poll")
-    total = Window.orderBy("poll").rowsBetween(Window.unboundedPreceding, 0)  # one row a poll
-    counted = numbered.withColumn("done", F.count(F.lit(1)).over(total))
-    most = counted.agg(F.max("done").alias("_all"))
-    upto = last.join(F.broadcast(counted.select(F.col("poll").alias("_p"), "done")), F.col("_p") <= F.col("valid_end"), "left").groupBy("entity", "valid_end").agg(F.coalesce(F.max("done"), F.lit(0)).alias("_done"))
-    return upto.join(F.broadcast(most)).select("entity", "valid_end", (F.col("_all") - F.col("_done")).alias("missed")).where(F.col("missed") >= after)
+    # For every poll how many complete ones came after it: one row a poll, joined by equality.
+    every = polls.select("poll", "complete").unionByName(last.select(F.col("valid_end").alias("poll"), F.lit(False).alias("complete"))).groupBy("poll").agg(F.max(F.coalesce("complete", F.lit(False)).cast("int")).alias("_c"))
+    later = Window.orderBy(F.desc("poll")).rowsBetween(Window.unboundedPreceding, -1)
+    missed = every.select(F.col("poll").alias("valid_end"), F.coalesce(F.sum("_c").over(later), F.lit(0)).alias("missed")).where(F.col("missed") >= after)
+    return last.join(missed, "valid_end").select("entity", "valid_end", "missed")
+
 
+def callee(peer: Column, db: Column, address: Column, scheme: Column) -> Column:
+    """namespace, value, name, external of whom a span called; null where nothing is addressed.
 
-def callee(peer: Column, db: Column, address: Column, http: Column) -> Column:
-    """Whom a span called: the peer service, else database and address, else the host."""
-    return F.coalesce(F.nullif(peer, F.lit("")), F.when((db != "") & (address != ""), F.concat(db, F.lit(":"), address)), F.nullif(http, F.lit("")))
+    A peer service comes first (external if it also has a database or an address), then a database with an address,
+    then an address over http or https.
+    """
+    peer, db, address, scheme = (F.trim(F.coalesce(c, F.lit(""))) for c in (peer, db, address, scheme))
+    own = F.struct(F.lit("otel.service.name").alias("namespace"), peer.alias("value"), peer.alias("name"), ((db != "") | (address != "")).alias("external"))
+    host = F.struct(F.lit("server.address").alias("namespace"), address.alias("value"), F.coalesce(F.nullif(short_host(address), F.lit("")), address).alias("name"), F.lit(True).alias("external"))
+    return F.when(peer != "", own).when((address != "") & ((db != "") | F.lower(scheme).isin("http", "https")), host)
 
 
 def exposure(rules: DataFrame, proxies: DataFrame, backends: DataFrame, services: DataFrame) -> DataFrame:
@@ -47,17 +55,27 @@ def exposure(rules: DataFrame, proxies: DataFrame, backends: DataFrame, services
     return rules.join(proxies, "proxy").join(backends, "backend").join(services, "service")
 
 
-def actor_kind(name: Column) -> Column:
-    return F.when(name.isNull() | (name == ""), "unknown").when(name.rlike(r"(?i)(bot|\[bot\]|gserviceaccount|controller|operator)"), "automation").otherwise("person")
+def actor_kind(email: Column, subject: Column, key: Column, first_parties: Column, third_party: Column, vendor: Column, automation: list[str], people: list[str]) -> Column:
+    """Who acted, by a ladder and never by how a name looks: unspecified without evidence, then a listed pipeline, the
+    platform's own principal, a listed person, the vendor of an event, else unknown.
+
+    first_parties: array of principals; third_party, vendor: booleans; automation and people: the configured lists.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    principal = F.when(text(email) != "", text(email)).otherwise(text(subject))
+    platform, vendor = F.coalesce(F.size(first_parties) > 0, F.lit(False)), F.coalesce(vendor, F.lit(False))
+    nothing = (principal == "") & (text(key) == "") & ~platform & ~F.coalesce(third_party, F.lit(False)) & ~vendor
+    listed = lambda names: principal.isin(*names) if names else F.lit(False)
+    return F.when(nothing, "UNSPECIFIED").when(listed(automation), "AUTOMATION").when(platform, "CONTROLLER").when(listed(people), "PERSON").when(vendor, "VENDOR").otherwise("UNKNOWN")
 
 
-def stamp_verdict(lines: DataFrame, candidates: list[str], error: Column, share: float = 0.95) -> DataFrame:
-    """stamp: the first candidate column set on `share` of all lines and of the error lines."""
+def stamp_verdict(lines: DataFrame, candidates: list[str], error: Column, by: str, share: float = 0.95) -> DataFrame:
+    """by, stamp: the first candidate column set on `share` of all its lines and of its error lines."""
     aggs = []
     for c in candidates:
         aggs += [F.avg(F.col(c).isNotNull().cast("double")).alias(f"_l_{c}"), F.avg(F.when(error, F.col(c).isNotNull().cast("double"))).alias(f"_e_{c}")]
     pick = F.coalesce(*(F.when((F.col(f"_l_{c}") >= share) & (F.coalesce(f"_e_{c}", F.lit(1.0)) >= share), F.lit(c)) for c in candidates), F.lit("none"))
-    return lines.agg(*aggs).select(pick.alias("stamp"))
+    return lines.groupBy(by).agg(*aggs).select(by, pick.alias("stamp"))
 
 
 def rollback_credit(releases: DataFrame) -> DataFrame:

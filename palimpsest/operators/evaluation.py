@@ -38,10 +38,27 @@ def ceiling(incidents: DataFrame, feeder: str, observed: Column, classifiable: C
     return own.withColumn("prior", F.round(1 - F.col("ceiling"), 6))
 
 
-def passes(trials: DataFrame, task: str, ok: Column, k: int) -> DataFrame:
-    """task, pass_at_1 (share of trials that pass), pass_all (share to the power k)."""
-    rate = trials.groupBy(task).agg(F.avg(ok.cast("double")).alias("r"))
-    return rate.select(task, F.round("r", 6).alias("pass_at_1"), F.round(F.pow("r", F.lit(float(k))), 6).alias("pass_all"))
+def passes(trials: DataFrame, task: str, ok: Column) -> DataFrame:
+    """task, pass_at_1 (share of trials that pass), pass_all (1 if every one passed, else 0)."""
+    won = ok.cast("double")
+    return trials.groupBy(task).agg(F.round(F.avg(won), 6).alias("pass_at_1"), F.min(won).alias("pass_all"))
+
+
+def lift(rates: DataFrame, with_: str, without: str) -> DataFrame:
+    """The columns of rates with `lift`, how much the rate `with_` is above `without`, and `harm`: it is below."""
+    change = F.round(F.col(with_) - F.col(without), 6)
+    return rates.withColumn("lift", change).withColumn("harm", change < 0)
+
+
+def credit(truth: Column, truth_via: Column, got: Column, got_via: Column) -> Column:
+    """localisation (the symptom, last of the path, is right), attribution (the cause, first, is right) and mechanism (share
+    of the true steps in their order); 0 for an empty path."""
+
+    def same(at: int) -> Column:
+        both = (F.size(truth) > 0) & (F.size(got) > 0)
+        return F.when(both & (F.try_element_at(truth, F.lit(at)) == F.try_element_at(got, F.lit(at))), 1.0).otherwise(0.0)
+
+    return F.struct(same(-1).alias("localisation"), same(1).alias("attribution"), ordered_overlap(truth_via, got_via).alias("mechanism"))
 
 
 def edge_f1(found: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,7 +69,12 @@ def edge_f1(found: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     return n.select(F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * F.col("b") / (F.col("f") + F.col("w")), 6).alias("f1"))
 
 
-def ordered_overlap(a: Column, b: Column) -> Column:
+def ordered_overlap(want: Column, got: Column) -> Column:
+    """Share of a wanted list that another has in its order; 0 if nothing is wanted."""
+    return F.when(F.size(want) > 0, F.round(common_subsequence(want, got) / F.size(want), 6)).otherwise(0.0)
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two lists, by one row of the table folded over a."""
     start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: F.lit(0))
 
@@ -66,20 +88,31 @@ def ordered_overlap(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(a, start, line), -1)
 
 
-def power(rate: float, lift: float, trials: int, z: float = 1.959964) -> float:
-    """Chance of seeing a lift in a pass rate with two samples of `trials`, by the normal approximation."""
-    p, q = rate, min(1.0, rate + lift)
-    spread = math.sqrt(max(1e-12, (p * (1 - p) + q * (1 - q)) / trials))
-    return 0.5 * (1 + math.erf((abs(q - p) / spread - z) / math.sqrt(2)))
+#: Normal quantiles of a one-sided test at 0.05 with power 0.8.
+Z_ALPHA, Z_BETA = 1.6448536269514722, 0.8416212335729143
+
+
+def required_trials(baseline: float, rate: float) -> float:
+    """Trials that tell a true rate from a fixed baseline, one-sided, by the normal approximation; infinite for equal rates."""
+    if baseline == rate:
+        return math.inf
+    return ((Z_ALPHA * math.sqrt(baseline * (1 - baseline)) + Z_BETA * math.sqrt(rate * (1 - rate))) / (baseline - rate)) ** 2
+
 
+def detectable(baseline: float, trials: int, direction: str = "min") -> float:
+    """The rate nearest to the baseline that `trials` tell from it: below it for a gate of direction min, above it for max.
 
-def detectable(rate: float, trials: int, wanted: float = 0.8) -> float:
-    """The smallest lift seen with `wanted` power, by 60 bisections."""
-    low, high = 0.0, 1.0 - rate
+    By 60 bisections; nan if not even the farthest rate is told, or for a baseline that is no rate.
+    """
+    if trials <= 0 or not 0 <= baseline <= 1:
+        return math.nan
+    near, far = baseline, 1.0 if direction == "max" else 0.0
+    if required_trials(baseline, far) > trials:
+        return math.nan
     for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (low, mid) if power(rate, mid, trials) >= wanted else (mid, high)
-    return round(high, 6)
+        middle = (near + far) / 2
+        near, far = (near, middle) if required_trials(baseline, middle) <= trials else (middle, far)
+    return round(far, 6)
 
 
 def citations(claims: DataFrame, evidence: DataFrame) -> DataFrame:

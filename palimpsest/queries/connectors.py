@@ -35,11 +35,19 @@ def silence_tracker(spark, sf_dir):
     return op.silence(polls, a.where("k < 20").select("entity", poll), 4)
 
 
-@query(f"WITH {m.A} SELECT event_id, CASE WHEN k % 3 = 0 THEN 'svc' || (k % 5) WHEN k % 3 = 1 THEN 'postgres:10.0.0.' || (k % 9) ELSE 'h' || (k % 4) END AS callee FROM a")
+@query(
+    f"""WITH {m.A}, s AS (SELECT event_id, k, CASE WHEN k % 5 = 0 THEN ' svc' || (k % 7) ELSE '' END AS peer, CASE WHEN k % 3 = 1 THEN 'postgres' ELSE '' END AS db, CASE WHEN k % 4 = 3 THEN NULL WHEN k % 2 = 0 THEN 'db' || (k % 9) || '.shop.svc.cluster.local' ELSE 'api.vendor' || (k % 6) || '.com' END AS address,
+    CASE k % 4 WHEN 0 THEN 'HTTPS' WHEN 1 THEN 'grpc' ELSE 'http' END AS scheme FROM a), r AS (SELECT *, CASE WHEN trim(peer) <> '' THEN 1 WHEN address IS NOT NULL AND (db <> '' OR lower(scheme) IN ('http', 'https')) THEN 2 ELSE 0 END AS rung FROM s)
+    SELECT event_id, CASE rung WHEN 1 THEN 'otel.service.name' WHEN 2 THEN 'server.address' END AS namespace, CASE rung WHEN 1 THEN trim(peer) WHEN 2 THEN address END AS value, CASE rung WHEN 1 THEN trim(peer) WHEN 2 THEN CASE WHEN k % 2 = 0 THEN 'db' || (k % 9) ELSE 'vendor' || (k % 6) END END AS name,
+    CASE rung WHEN 1 THEN db <> '' OR address IS NOT NULL WHEN 2 THEN true END AS external FROM r"""
+)
 def callee_resolution(spark, sf_dir):
+    """A peer service, else a database's address, else an address over http; spans that address nothing give null."""
     k = F.col("k")
-    peer, db = F.when(k % 3 == 0, F.concat(F.lit("svc"), k % 5)).otherwise(""), F.when(k % 3 == 1, "postgres").otherwise("")
-    return m.assertions(spark, sf_dir).select("event_id", op.callee(peer, db, F.concat(F.lit("10.0.0."), k % 9), F.concat(F.lit("h"), k % 4)).alias("callee"))
+    peer, db = F.when(k % 5 == 0, F.concat(F.lit(" svc"), k % 7)).otherwise(""), F.when(k % 3 == 1, "postgres").otherwise("")
+    address = F.when(k % 4 == 3, None).when(k % 2 == 0, F.concat(F.lit("db"), k % 9, F.lit(".shop.svc.cluster.local"))).otherwise(F.concat(F.lit("api.vendor"), k % 6, F.lit(".com")))
+    scheme = F.when(k % 4 == 0, "HTTPS").when(k % 4 == 1, "grpc").otherwise("http")
+    return m.assertions(spark, sf_dir).select("event_id", op.callee(peer, db, address, scheme).alias("c")).select("event_id", "c.*")
 
 
 @query("SELECT r_name, n_name, s_suppkey, count(*) AS parts FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2, 3")
@@ -51,17 +59,28 @@ def exposure_chain(spark, sf_dir):
     return op.exposure(rules, proxies, backends, services).select("r_name", "n_name", F.col("service").alias("s_suppkey"), "parts")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'unknown' WHEN c_custkey % 4 = 1 THEN 'automation' ELSE 'person' END AS kind FROM customer")
+@query(
+    """WITH p AS (SELECT c_custkey AS i, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'who' || c_custkey % 20 END AS who FROM customer)
+    SELECT i AS c_custkey, CASE WHEN who = '' AND i % 3 <> 0 AND i % 5 <> 0 AND i % 7 <> 0 THEN 'UNSPECIFIED' WHEN who IN ('who1', 'who2', 'who3') THEN 'AUTOMATION' WHEN i % 3 = 0 THEN 'CONTROLLER' WHEN who IN ('who3', 'who5', 'who6', 'who7') THEN 'PERSON' WHEN i % 5 = 0 THEN 'VENDOR' ELSE 'UNKNOWN' END AS kind FROM p"""
+)
 def actor_kinds(spark, sf_dir):
-    i = F.col("c_custkey") % 4
-    name = F.when(i == 0, "").when(i == 1, F.concat(F.lower("c_name"), F.lit("-deploy-bot"))).otherwise(F.col("c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", op.actor_kind(name).alias("kind"))
+    """The ladder over principals, of which some are listed, some are the platform's own, and some acts are a vendor's."""
+    i = F.col("c_custkey")
+    who = F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("who"), i % 20))
+    own = F.when(i % 3 == 0, F.array(F.lit("platform"))).otherwise(F.array().cast("array<string>"))
+    kind = op.actor_kind(F.when(i % 2 == 0, who), F.when(i % 2 == 1, who), F.when(i % 7 == 0, "key").otherwise(""), own, F.lit(None).cast("boolean"), i % 5 == 0, ["who1", "who2", "who3"], ["who3", "who5", "who6", "who7"])
+    return table(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"))
 
 
-@query("SELECT 'p_brand' AS stamp FROM part LIMIT 1")
+@query(
+    """WITH l AS (SELECT p_brand AS source, CASE WHEN p_partkey % 5 <> 0 OR p_brand < 'Brand#3' THEN p_type END AS sha, CASE WHEN p_brand < 'Brand#5' OR p_size <= 40 THEN p_name END AS release, p_size > 40 AS error FROM part),
+    s AS (SELECT source, count(sha) / count(*) AS sl, coalesce(count(sha) FILTER (WHERE error) / nullif(count(*) FILTER (WHERE error), 0), 1) AS se, count(release) / count(*) AS rl, coalesce(count(release) FILTER (WHERE error) / nullif(count(*) FILTER (WHERE error), 0), 1) AS re FROM l GROUP BY 1)
+    SELECT source, CASE WHEN sl >= 0.95 AND se >= 0.95 THEN 'sha' WHEN rl >= 0.95 AND re >= 0.95 THEN 'release' ELSE 'none' END AS stamp FROM s"""
+)
 def version_stamp(spark, sf_dir):
-    lines = table(spark, sf_dir, "part").withColumn("sha", F.when(F.col("p_partkey") % 5 != 0, F.col("p_type")))
-    return op.stamp_verdict(lines, ["sha", "p_brand"], F.col("p_size") > 40)
+    """Of each source of lines the first stamp that nearly all lines and nearly all error lines have."""
+    lines = table(spark, sf_dir, "part").withColumn("sha", F.when((F.col("p_partkey") % 5 != 0) | (F.col("p_brand") < "Brand#3"), F.col("p_type"))).withColumn("release", F.when((F.col("p_brand") < "Brand#5") | (F.col("p_size") <= 40), F.col("p_name")))
+    return op.stamp_verdict(lines.withColumnRenamed("p_brand", "source"), ["sha", "release"], F.col("p_size") > 40, "source")
 
 
 @query("WITH r AS (SELECT o_orderkey AS release, o_orderdate AS at, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey - 3 END AS back FROM orders) SELECT x.release, y.release AS credited FROM r x JOIN r y ON y.release = x.back WHERE y.at < x.at")

@@ -145,25 +145,110 @@ def excluded_announced(spark, sf_dir):
     return within.select("change_id", decision.alias("decision"))
 
 
-_PATHS = f"""WITH RECURSIVE {m.E}, {_live('s', m.T1)}, {_STEP}, {_MAXED}, p AS (SELECT 'u8' AS focus, 'u8' AS node, ['u8'] AS path, NULL::INTEGER AS weight, 0 AS hops
- UNION ALL SELECT p.focus, x.neighbour, list_append(p.path, x.neighbour), least(coalesce(p.weight, x.w), x.w), p.hops + 1 FROM p JOIN x ON x.anchor = p.node WHERE p.hops < 3 AND NOT list_contains(p.path, x.neighbour)),
+def _paths(anchor: str, neighbour: str, foci: str = "SELECT 'u8' AS focus", hops: int = 3) -> str:
+    """Simple directed paths over the edges that speak for their (src, dst, type); `seen` are the entities with a version."""
+    return f"""WITH RECURSIVE {m.E}, {_live('s', m.T1)}, x AS (SELECT {anchor} AS anchor, {neighbour} AS neighbour, coalesce(weight_class, 0) AS w FROM {_CURRENT.format('s')} c), seen AS (SELECT DISTINCT entity FROM {_N.format(m.T1)} q),
+ p AS (SELECT focus, focus AS node, [focus] AS path, NULL::INTEGER AS weight, 0 AS hops FROM ({foci}) f
+ UNION ALL SELECT p.focus, x.neighbour, list_append(p.path, x.neighbour), least(coalesce(p.weight, x.w), x.w), p.hops + 1 FROM p JOIN x ON x.anchor = p.node WHERE p.hops < {hops} AND NOT list_contains(p.path, x.neighbour)),
  z AS (SELECT *, array_to_string(path, '/') AS route FROM p WHERE hops > 0)"""
 
 
-@query(_PATHS + ", y AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, hops, route) AS n, least(count(*) OVER (PARTITION BY node) - 1, 100) AS others FROM z) SELECT focus, node, weight, hops, route, others FROM y WHERE n = 1")
-def impact_paths(spark, sf_dir):
-    return op.impact(_slice(spark, sf_dir), _foci(spark, sf_dir, "u8"), 3)
+_HEAVIEST = ", y AS (SELECT *, row_number() OVER (PARTITION BY focus, node ORDER BY weight DESC, hops, route) AS n, least(count(*) OVER (PARTITION BY focus, node) - 1, 100) AS others, min(hops) OVER (PARTITION BY focus, node) AS hop FROM z WHERE node IN (SELECT entity FROM seen)) SELECT focus, node, weight, hop, route, others FROM y WHERE n = 1"
 
 
-@query(_PATHS + ", y AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, route) AS n FROM z) SELECT focus, node, hops, route FROM y WHERE n = 1")
+@query(_paths("dst", "src") + _HEAVIEST)
+def impact_downstream(spark, sf_dir):
+    """Who depends on one entity: edges walked from their end to their start."""
+    return op.impact_side(_slice(spark, sf_dir), _nodes(spark, sf_dir, m.T1), _foci(spark, sf_dir, "u8"), "upstream", 3, 1 << 30, 1 << 30)
+
+
+@query(_paths("src", "dst") + _HEAVIEST)
+def impact_upstream(spark, sf_dir):
+    """What one entity depends on."""
+    return op.impact_side(_slice(spark, sf_dir), _nodes(spark, sf_dir, m.T1), _foci(spark, sf_dir, "u8"), "downstream", 3, 1 << 30, 1 << 30)
+
+
+@query(_paths("src", "dst") + ", y AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, route) AS n FROM z) SELECT focus, node, hops, route FROM y WHERE n = 1")
 def shortest_route(spark, sf_dir):
     return op.shortest_route(_slice(spark, sf_dir), _foci(spark, sf_dir, "u8"), 3)
 
 
-@query()
+@query(_paths("dst", "src", "SELECT DISTINCT entity AS focus FROM a", 2) + _HEAVIEST)
 def impact_all_foci(spark, sf_dir):
-    """The blast radius of every entity in one job: the batch form of the single lookup above, which has the oracle."""
-    return op.impact(_slice(spark, sf_dir), _foci(spark, sf_dir), 2)
+    """Who depends on each entity, two steps far, for all entities in one job."""
+    return op.impact_side(_slice(spark, sf_dir), _nodes(spark, sf_dir, m.T1), _foci(spark, sf_dir), "upstream", 2, 1 << 30, 1 << 30)
+
+
+@query()
+def impact_capped_all_foci(spark, sf_dir):
+    """Both sides of every entity's blast radius, three steps far, fifty edges a node and five hundred in all, with what was cut."""
+    return op.impact(_slice(spark, sf_dir), _nodes(spark, sf_dir, m.T1), _foci(spark, sf_dir))
+
+
+def _degrees(instant: str) -> str:
+    return f"WITH {m.E}, {_live('s', instant)}, {_STEP}, f AS (SELECT DISTINCT entity AS focus FROM a), d AS (SELECT anchor, count(*) AS n FROM w GROUP BY 1)"
+
+
+@query(
+    _degrees(m.T1)
+    + """, h1 AS (SELECT DISTINCT k.focus, k.neighbour AS node FROM (SELECT f.focus, w.*, row_number() OVER (PARTITION BY f.focus ORDER BY weight_class DESC NULLS LAST, neighbour, type, edge_id) AS n FROM f JOIN w ON w.anchor = f.focus) k WHERE n <= 2 AND neighbour <> focus),
+    r AS (SELECT focus, focus AS node FROM f UNION ALL SELECT * FROM h1) SELECT focus, 'per_hop_cap' AS reason FROM r JOIN d ON d.anchor = r.node GROUP BY focus HAVING max(d.n) > 2"""
+)
+def subgraph_truncation(spark, sf_dir):
+    """Which two-hop subgraphs are cut, and why, when two edges a node are followed."""
+    return op.truncation(_slice(spark, sf_dir), _foci(spark, sf_dir), 2, per_hop=2, total=1 << 20)
+
+
+def _hood(name: str) -> str:
+    """Nodes within one step of u8 in slice `name`."""
+    return f"SELECT 'u8' AS node UNION SELECT dst FROM {name} WHERE src = 'u8' UNION SELECT src FROM {name} WHERE dst = 'u8'"
+
+
+_DIFF = f"WITH {m.E}, {_live('s', m.T1)}, {_live('t', m.T2)}, hx AS ({_hood('s')}), hy AS ({_hood('t')}), h AS (SELECT * FROM hx UNION SELECT * FROM hy), vx AS {_N.format(m.T1)}, vy AS {_N.format(m.T2)}, x AS (SELECT entity, state, value FROM vx JOIN hx ON node = entity), y AS (SELECT entity, state, value FROM vy JOIN hy ON node = entity)"
+
+
+def _around(spark, sf_dir):
+    before, after = _slice(spark, sf_dir), _slice(spark, sf_dir, m.T2)
+    return op.neighbourhood(before, after, _foci(spark, sf_dir, "u8"), 1, per_hop=1 << 30, total=1 << 30), before, after
+
+
+@query(_DIFF + " SELECT 'u8' AS focus, coalesce(x.entity, y.entity) AS node, CASE WHEN x.entity IS NULL THEN 'added' WHEN y.entity IS NULL THEN 'removed' ELSE 'changed' END AS change FROM x FULL OUTER JOIN y ON x.entity = y.entity WHERE x.entity IS NULL OR y.entity IS NULL OR x.state <> y.state OR x.value <> y.value")
+def diff_focus(spark, sf_dir):
+    """What came to, left or changed in one entity's neighbourhood between two instants."""
+    hood, _, _ = _around(spark, sf_dir)
+    return op.diff_focus_nodes(hood, _nodes(spark, sf_dir, m.T1), _nodes(spark, sf_dir, m.T2), ["state", "value"])
+
+
+@query(
+    _DIFF
+    + f""", a1 AS {_CURRENT.format('s')}, b1 AS {_CURRENT.format('t')}, j AS (SELECT 'u8' AS focus, coalesce(p.src, q.src) AS src, coalesce(p.dst, q.dst) AS dst, coalesce(p.type, q.type) AS type, CASE WHEN p.src IS NOT NULL THEN coalesce(p.weight_class, -1) END AS weight_before,
+    CASE WHEN q.src IS NOT NULL THEN coalesce(q.weight_class, -1) END AS weight_after FROM a1 p FULL OUTER JOIN b1 q ON p.src = q.src AND p.dst = q.dst AND p.type = q.type)
+    SELECT *, CASE WHEN weight_before IS NULL THEN 'added' WHEN weight_after IS NULL THEN 'removed' ELSE 'changed' END AS change FROM j WHERE weight_before IS DISTINCT FROM weight_after AND src IN (SELECT node FROM h) AND dst IN (SELECT node FROM h)"""
+)
+def diff_focus_edges(spark, sf_dir):
+    return op.diff_focus_edges(*_around(spark, sf_dir))
+
+
+@query(_DIFF + f" SELECT DISTINCT 'u8' AS focus, a.entity, CASE WHEN q.entity IS NOT NULL THEN 't2' ELSE 't1' END AS read_at, coalesce(q.state, p.state) AS state FROM a LEFT JOIN vx p ON p.entity = a.entity LEFT JOIN vy q ON q.entity = a.entity WHERE a.state = 'error' AND a.valid_from > TIMESTAMP '{m.T1}' AND a.valid_from <= TIMESTAMP '{m.T2}' AND (p.entity IS NOT NULL OR q.entity IS NOT NULL)")
+def change_targets(spark, sf_dir):
+    """The targets of the window's changes as they were at its end, or at its start if they were gone by then."""
+    ranked = m.changes(spark, sf_dir).where((F.col("start") > m.at(m.T1)) & (F.col("start") <= m.at(m.T2))).withColumn("focus", F.lit("u8"))
+    return op.change_targets(ranked, _nodes(spark, sf_dir, m.T1), _nodes(spark, sf_dir, m.T2), ["state"])
+
+
+@query(
+    _REACHED + """, k AS (SELECT event_id AS change_id, 'deploy.release=v' || (k % 9) AS key FROM a WHERE k % 3 = 0 AND observed_from <= TIMESTAMP '2024-01-11 12:00:00' UNION SELECT event_id, 'deploy.commit_sha=' || md5(CAST(k % 4 AS VARCHAR)) FROM a WHERE k % 3 < 2 AND observed_from <= TIMESTAMP '2024-01-11 12:00:00')
+    SELECT i.change_id, coalesce(string_agg(key, ';' ORDER BY key), '') AS keys FROM i LEFT JOIN k USING (change_id) GROUP BY 1"""
+)
+def correlation_keys(spark, sf_dir):
+    """The cross-source keys that each change carries, as known at an instant; one that two sources gave is told once."""
+    a = m.assertions(spark, sf_dir)
+    own = [F.col("event_id").alias("change_id"), F.col("observed_from").alias("observed_at")]
+    release = a.where("k % 3 = 0").select(*own, F.lit("deploy.release").alias("namespace"), F.concat(F.lit("v"), F.col("k") % 9).alias("value"))
+    commit = a.where("k % 3 < 2").select(*own, F.lit("deploy.commit_sha").alias("namespace"), F.md5((F.col("k") % 4).cast("string")).alias("value"))
+    within = m.changes(spark, sf_dir).where((F.col("start") > m.at(m.T1)) & (F.col("start") <= m.at(m.T2)))
+    found = op.with_keys(within, release.unionByName(commit).unionByName(release), m.at("2024-01-11 12:00:00"))
+    return found.select("change_id", F.array_join("keys", ";").alias("keys"))
 
 
 _KINDS = "CASE k % 3 WHEN 0 THEN 'logs' WHEN 1 THEN 'metrics' ELSE 'traces' END"

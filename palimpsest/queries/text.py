@@ -29,10 +29,15 @@ def mask_templates(spark, sf_dir):
     return _lines(spark, sf_dir).groupBy(fn.masked(F.col("line")).alias("template")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("errors"))
 
 
-@query(f"WITH {_LINES}, t AS (SELECT {_sql_mask('line')} AS template, page_id FROM l), w AS (SELECT template, count(*) AS n FROM t WHERE page_id % 2 = 0 GROUP BY 1), b AS (SELECT DISTINCT template FROM t WHERE page_id % 2 = 1) SELECT template, n FROM w WHERE template NOT IN (SELECT template FROM b)")
+_NOVEL = "CASE page_id % 10 WHEN 4 THEN ' upstream gone' WHEN 8 THEN ' pool exhausted after ' || page_id || ' tries' WHEN 5 THEN ' slow' ELSE '' END"
+
+
+@query(f"WITH {_LINES}, t AS (SELECT {_sql_mask('line || ' + _NOVEL)} AS template, page_id FROM l), w AS (SELECT template, count(*) AS n FROM t WHERE page_id % 2 = 0 GROUP BY 1), b AS (SELECT DISTINCT template FROM t WHERE page_id % 2 = 1) SELECT template, n FROM w WHERE template NOT IN (SELECT template FROM b)")
 def new_patterns(spark, sf_dir):
-    """Templates of the even lines that no odd line has."""
-    t = _lines(spark, sf_dir).select("page_id", fn.masked(F.col("line")).alias("template"))
+    """Templates of the even lines that no odd line has. Some lines say more at their end, as errors do."""
+    i = F.col("page_id") % 10
+    novel = F.when(i == 4, " upstream gone").when(i == 8, F.concat(F.lit(" pool exhausted after "), "page_id", F.lit(" tries"))).when(i == 5, " slow").otherwise("")
+    t = _lines(spark, sf_dir).select("page_id", fn.masked(F.concat("line", novel)).alias("template"))
     return t.where("page_id % 2 = 0").groupBy("template").agg(F.count(F.lit(1)).alias("n")).join(t.where("page_id % 2 = 1").select("template"), "template", "left_anti")
 
 
@@ -112,10 +117,17 @@ def name_scores(spark, sf_dir):
     return pairs.select("a", "b", F.round(fn.name_score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host, string_split(lower(regexp_extract(url, '://([^/]+)', 1)), '.')[1] AS short FROM pages")
+@query(
+    """WITH h AS (SELECT page_id, lower(regexp_extract(url, '://([^/]+)', 1)) AS host FROM pages), k AS (SELECT page_id, host, page_id % 6 AS i FROM h)
+    SELECT page_id, CASE i WHEN 1 THEN ' DB' || page_id || '.shop.svc.cluster.local:5432' WHEN 2 THEN '10.0.' || page_id % 200 || '.7:80' WHEN 3 THEN '[fe80::' || page_id % 9 || ']:443' WHEN 4 THEN 'cache-' || page_id WHEN 5 THEN 'Api.' || host || '.' ELSE host END AS host,
+    CASE i WHEN 1 THEN 'db' || page_id WHEN 2 THEN '10.0.' || page_id % 200 || '.7' WHEN 3 THEN 'fe80::' || page_id % 9 WHEN 4 THEN 'cache-' || page_id ELSE string_split(host, '.')[-2] END AS short FROM k"""
+)
 def short_hosts(spark, sf_dir):
-    host = F.lower(F.regexp_extract("url", "://([^/]+)", 1))
-    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), fn.short_host(host).alias("short"))
+    """Public names, names inside a network, addresses with ports and single labels."""
+    host, i, n = F.lower(F.regexp_extract("url", "://([^/]+)", 1)), F.col("page_id") % 6, F.col("page_id")
+    odd = F.when(i == 1, F.concat(F.lit(" DB"), n, F.lit(".shop.svc.cluster.local:5432"))).when(i == 2, F.concat(F.lit("10.0."), n % 200, F.lit(".7:80"))).when(i == 3, F.concat(F.lit("[fe80::"), n % 9, F.lit("]:443")))
+    odd = odd.when(i == 4, F.concat(F.lit("cache-"), n)).when(i == 5, F.concat(F.lit("Api."), host, F.lit("."))).otherwise(host)
+    return table(spark, sf_dir, "pages").select("page_id", odd.alias("host"), fn.short_host(odd).alias("short"))
 
 
 @query("SELECT doc_id, sha256(source || chr(0) || '1' || chr(0) || text) AS digest FROM documents")

@@ -131,13 +131,23 @@ def test_rank_prefers_the_recent_and_near(spark):
 
 def test_ordered_overlap(spark):
     cases = [(list("abcbdab"), list("bdcaba"), 4), ([], list("ab"), 0), (list("ab"), [], 0), (list("abc"), list("abc"), 3)]
-    df = spark.createDataFrame(cases, "a array<string>, b array<string>, want int").withColumn("got", evaluation.ordered_overlap(F.col("a"), F.col("b")))
-    assert all(r["got"] == r["want"] for r in df.collect())
+    df = spark.createDataFrame(cases, "a array<string>, b array<string>, want int").withColumn("got", evaluation.common_subsequence(F.col("a"), F.col("b")))
+    rows = df.withColumn("share", evaluation.ordered_overlap(F.col("a"), F.col("b"))).collect()
+    assert all(r["got"] == r["want"] and r["share"] == (round(r["want"] / len(r["a"]), 6) if r["a"] else 0) for r in rows)
+
+
+def test_credit(spark):
+    rows = [(["a", "b", "c"], ["e1", "e2"], ["a", "x", "c"], ["e1", "e9"]), (["a"], [], [], []), (["a", "b"], ["e"], ["b", "a"], ["e"])]
+    df = spark.createDataFrame(rows, "t array<string>, tv array<string>, g array<string>, gv array<string>")
+    got = [tuple(r["c"]) for r in df.select(evaluation.credit(F.col("t"), F.col("tv"), F.col("g"), F.col("gv")).alias("c")).collect()]
+    assert got == [(1.0, 1.0, 0.5), (0.0, 0.0, 0.0), (0.0, 0.0, 1.0)]
 
 
 def test_power():
-    assert evaluation.power(0.5, evaluation.detectable(0.5, 200), 200) == pytest.approx(0.8, abs=1e-3)
-    assert evaluation.detectable(0.5, 2000) < evaluation.detectable(0.5, 200)
+    assert 0.7 < evaluation.detectable(0.9, 40) < 0.8  # 40 trials tell 0.9 from 0.7, not from 0.8
+    assert evaluation.required_trials(0.9, evaluation.detectable(0.9, 40)) == pytest.approx(40, abs=1e-3)
+    assert evaluation.detectable(0.1, 40, "max") > 0.1 and evaluation.detectable(0.5, 2000) > evaluation.detectable(0.5, 200)
+    assert all(x != x for x in (evaluation.detectable(0.9, 0), evaluation.detectable(1.2, 50), evaluation.detectable(0.01, 5)))
 
 
 def test_terms():
