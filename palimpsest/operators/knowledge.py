@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.functions.text import tokens
+from palimpsest.storage import cut
 
 #: Fixed values of the scores.
 K1, B, RRF, DEPTH, BOOST = 1.2, 0.75, 60, 50, 1.5
@@ -28,16 +29,16 @@ def bm25(sections: DataFrame, query: list[str], id_: str, text: str) -> DataFram
     """id, score of the sections that share a term with the query; every step rounds to six decimals, terms in query order."""
     terms = list(dict.fromkeys(query))
     own = sections.select(F.col(id_), tokens(F.col(text)).alias("_t"))
-    counted = own.select(id_, F.size("_t").alias("_n"), *(_times(w).alias(f"_f{i}") for i, w in enumerate(terms)))
+    counted = cut(own.select(id_, F.size("_t").alias("_n"), *(_times(w).alias(f"_f{i}") for i, w in enumerate(terms))), "bm25")  # so that texts are read and split once
     stats = counted.agg(F.count(F.lit(1)).alias("_all"), _r(F.avg("_n")).alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
     joined = counted.join(F.broadcast(stats))  # one row
     length = _r(K1 * _r(F.lit(1 - B) + _r(B * _r(F.col("_n") / F.when(F.col("_avg") == 0, 1.0).otherwise(F.col("_avg"))))))
-    score = F.lit(0.0)
+    parts = []
     for i in range(len(terms)):
         f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
         idf = _r(F.log(_r(1 + _r(_r(F.col("_all") - d + 0.5) / _r(d + 0.5)))))
-        part = _r(idf * _r(_r(f * (K1 + 1)) / _r(f + length)))
-        score = F.when(f > 0, _r(score + part)).otherwise(score)
+        parts.append(F.when(f > 0, _r(idf * _r(_r(f * (K1 + 1)) / _r(f + length)))))
+    score = F.aggregate(F.array(*parts), F.lit(0.0), lambda sum_, part: F.when(part.isNull(), sum_).otherwise(_r(sum_ + part)))
     return joined.select(id_, score.alias("score")).where("score > 0")
 
 

@@ -13,7 +13,12 @@ DEPTH, SIMILAR, MOST_CLUSTERS, ANY = 4, 0.5, 64, "<*>"
 
 
 def fold(lines: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one bucket. Lines with equal text and no other line between them merge alike, so they come counted."""
+    """Clusters of one bucket from distinct lines with their counts, in the order of first arrival.
+
+    A line that came before changes no cluster when it comes again: the cluster that took it matches it in every word
+    that isn't ANY, and widening keeps that so. Its later arrivals only add to a count, and as a cluster that fits
+    better may have begun meanwhile, all of them go where the first went.
+    """
     clusters: list[list] = []  # [tokens, count, first]
     for text, n, first in lines.sort_values("first").itertuples(index=False):
         words = text.split(" ")

@@ -1,22 +1,15 @@
 """Streaming operators run over what is there, and their batch forms."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from palimpsest.registry import query
 from palimpsest.sources import model as m
+from palimpsest.storage import shared_path
 from palimpsest.streaming import topology as op
 
 _SPANS = f"{m.A}, s AS (SELECT event_id, time_bucket(INTERVAL 5 MINUTE, valid_from) AS start, entity AS src, 'u' || (k % 10) AS dst, 1.0 / (1 + k % 4) AS p FROM a)"
 
 
-def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def _spans(rows):
     return rows.select("event_id", F.col("valid_from").alias("ts"), F.col("entity").alias("src"), F.concat(F.lit("u"), F.col("k") % 10).alias("dst"), (1.0 / (1 + F.col("k") % 4)).alias("p"))
 
@@ -34,7 +27,7 @@ def stream_topology(spark, sf_dir):
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     rows = raw.select("event_id", F.col("ts").cast("timestamp").alias("valid_from"), F.concat(F.lit("u"), "user_id").alias("entity"), k.alias("k"))
-    told = op.run_available(op.windowed_calls(_spans(rows)), _folder(spark))
+    told = op.run_available(op.windowed_calls(_spans(rows)), shared_path(spark, "stream"))
     return op.drained(told, op.windowed_calls(_spans(m.assertions(spark, sf_dir)))).withColumn("start", m.micros("start"))
 
 
@@ -43,7 +36,7 @@ def stream_edge_events(spark, sf_dir):
     """Hysteresis and absence with state, as a stream over each key's daily windows."""
     day = F.floor(F.unix_seconds("valid_from") / 86400).cast("long")
     daily = m.assertions(spark, sf_dir).groupBy(F.col("entity").alias("key"), day.alias("window")).agg(F.least(F.lit(5), F.count(F.lit(1))).cast("int").alias("class"))
-    path = _folder(spark)
+    path = shared_path(spark, "stream")
     daily.write.parquet(f"{path}/in")
     return op.run_available(op.edge_events(spark.readStream.schema(daily.schema).parquet(f"{path}/in")), path)
 

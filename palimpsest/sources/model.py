@@ -75,6 +75,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity, namespace, value, source, environment, name, owner: one identity claim an entity."""
+    own = assertions(spark, sf_dir).select("entity", "user_id").distinct()
+    i = F.col("user_id")
+    return own.select(
+        "entity", F.lit("host").alias("namespace"), F.concat(F.lit("h"), i % 39).alias("value"), F.concat(F.lit("src"), i % 2).alias("source"),
+        F.when(i % 3 == 0, "prod").when(i % 3 == 1, "dev").otherwise("").alias("environment"), F.concat(F.lit("svc"), i % 30).alias("name"), F.concat(F.lit("n"), i % 7).alias("owner"),
+    )
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """change_id, target, start, observed_from, k, value: the errors."""
     return assertions(spark, sf_dir).where(F.col("state") == "error").select(F.col("event_id").alias("change_id"), F.col("entity").alias("target"), F.col("valid_from").alias("start"), "observed_from", "k", "value")
