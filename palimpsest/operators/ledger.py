@@ -186,9 +186,12 @@ def admitted(calls: DataFrame, group: str, order: str, cap: float, reserve: floa
     return told.select(group, F.col("r.o").alias(order), F.col("r.ok").alias("admitted"), "r.spent")
 
 
-def gap_overlap(windows: DataFrame, gaps: DataFrame) -> DataFrame:
+def gap_overlap(windows: DataFrame, gaps: DataFrame, horizon: Column, seconds: int = 3600) -> DataFrame:
     """windows with `in_gap`: some gap (source, gap_from, gap_to) of their source overlaps them."""
-    inside = windows.join(gaps, "source").where((F.col("valid_from") < F.col("gap_to")) & (F.col("gap_from") < F.col("valid_to"))).select("window").distinct()
+    from palimpsest.operators.temporal import interval_join
+
+    dealt = gaps.select("source", F.col("gap_from").alias("valid_from"), F.col("gap_to").alias("valid_to"))
+    inside = interval_join(windows.select("window", "source", "valid_from", "valid_to"), dealt, ["source"], seconds, horizon).select("window").distinct()
     return windows.join(inside.withColumn("in_gap", F.lit(True)), "window", "left").withColumn("in_gap", F.coalesce("in_gap", F.lit(False)))
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Levels of buckets of an interval join, each so many times as wide as the one before.
+LEVELS, STEP = 4, 32
+
+
 def contains(start: str | Column, end: str | Column, instant: Column) -> Column:
     """start <= instant < end."""
     start, end = (F.col(x) if isinstance(x, str) else x for x in (start, end))
@@ -44,24 +48,34 @@ def intersection(a_from: Column, a_to: Column, b_from: Column, b_to: Column) ->
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], seconds: int, horizon: Column) -> DataFrame:
     """Pairs of rows that share `on` and whose [valid_from, valid_to) overlap; right columns get the prefix r_.
 
-    Each interval is dealt to the time buckets that it touches, so the join is an equi-join on (on, bucket) with a
-    residual test, not a product. A pair that meets in many buckets is kept in the first common one. Open ends reach
-    to `horizon`; seconds is the bucket width: about the usual length of an interval.
+    Each interval is dealt to the time buckets that it touches, so the join is an equi-join on (on, level, bucket) with a
+    residual test, not a product. seconds is the bucket width of the first level: about the usual length of an interval.
+    Each further level is STEP times wider. An interval has the first level in which it touches at most STEP buckets, and is
+    dealt there and in all wider levels, so long and open ones give few rows; a pair meets in the wider level of the two,
+    in the first bucket that both touch. Open ends reach to `horizon`.
     """
 
-    def bucket(t: Column) -> Column:
-        return F.floor(F.unix_seconds(t) / F.lit(seconds))
-
     def dealt(df: DataFrame) -> DataFrame:
-        last = bucket(F.coalesce("valid_to", horizon))
-        first = bucket(F.col("valid_from"))
-        return df.withColumn("_first", first).withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+        start, end = F.unix_seconds("valid_from"), F.unix_seconds(F.coalesce("valid_to", horizon))
+        widths = F.array(*(F.lit(seconds * STEP**i).cast("long") for i in range(LEVELS)))
+        buckets = lambda i, t: F.floor(t / F.get(widths, i))
+        own = F.lit(LEVELS - 1)
+        for i in reversed(range(LEVELS - 1)):
+            own = F.when(end - start < seconds * STEP ** (i + 1), i).otherwise(own)
+
+        def places(i: Column) -> Column:
+            first = buckets(i, F.col("_start"))
+            return F.transform(F.sequence(first, F.greatest(first, buckets(i, F.col("_end")))), lambda b: F.struct(i.alias("level"), b.alias("bucket"), first.alias("first"), (i == F.col("_own")).alias("own")))
+
+        spread = df.withColumn("_start", start).withColumn("_end", end).withColumn("_own", own)
+        return spread.withColumn("_at", F.explode(F.flatten(F.transform(F.sequence(F.col("_own"), F.lit(LEVELS - 1)), places)))).drop("_start", "_end", "_own").withColumns({"_level": F.col("_at.level"), "_bucket": F.col("_at.bucket")})
 
     r = dealt(right)
-    r = r.select(*(F.col(c).alias(c if c in on or c == "_bucket" else f"r_{c}") for c in r.columns))
-    joined = dealt(left).join(r, [*on, "_bucket"])
+    r = r.select(*(F.col(c).alias(c if c in on or c in ("_level", "_bucket") else f"r_{c}") for c in r.columns))
+    joined = dealt(left).join(r, [*on, "_level", "_bucket"])
     hit = overlaps(F.col("valid_from"), F.col("valid_to"), F.col("r_valid_from"), F.col("r_valid_to"))
-    return joined.where(hit & (F.col("_bucket") == F.greatest("_first", "r__first"))).drop("_first", "r__first", "_bucket")
+    once = (F.col("_at.own") | F.col("r__at.own")) & (F.col("_bucket") == F.greatest("_at.first", "r__at.first"))
+    return joined.where(hit & once).drop("_at", "r__at", "_level", "_bucket")
 
 
 def asof_join(points: DataFrame, rows: DataFrame, on: str, at: str, time: str, order: str, take: list[str]) -> DataFrame:

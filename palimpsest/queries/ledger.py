@@ -201,7 +201,7 @@ def gap_overlap(spark, sf_dir):
     a = m.assertions(spark, sf_dir)
     windows = a.select(F.col("event_id").alias("window"), "source", "valid_from", (F.col("valid_from") + m.hours(1)).alias("valid_to"))
     gaps = a.where("k % 50 = 0").select("source", F.col("valid_from").alias("gap_from"), (F.col("valid_from") + F.expr("INTERVAL 30 MINUTES")).alias("gap_to"))
-    return op.gap_overlap(windows, gaps).select("window", "in_gap")
+    return op.gap_overlap(windows, gaps, m.at("2025-01-01 00:00:00")).select("window", "in_gap")
 
 
 @query(
