@@ -102,3 +102,50 @@ def section_versions(history: DataFrame) -> DataFrame:
 def pending(sections: DataFrame, embedded: DataFrame, digest: str) -> DataFrame:
     """Digests without an embedding, each with its smallest section."""
     return sections.join(embedded.select(digest), digest, "left_anti").groupBy(digest).agg(F.min("section").alias("section"))
+
+
+def documents_as_of(links: DataFrame, scope: DataFrame, aliases: DataFrame, valid: Column, observed: Column) -> DataFrame:
+    """document, via of the documents linked at a valid instant, as known at another, to an entity of the scope or to one that shares a catalog entry with it.
+
+    links: document, entity, valid_from, valid_to, known_from; scope: entity; aliases: entry, entity.
+    """
+    entries = aliases.join(scope.select("entity"), "entity", "left_semi").select("entry").distinct()
+    wider = aliases.join(entries, "entry", "left_semi").select("entity").unionByName(scope.select("entity")).distinct()
+    live = (F.col("valid_from") <= valid) & (F.col("valid_to").isNull() | (valid < F.col("valid_to"))) & (F.col("known_from") <= observed)
+    return links.where(live).join(wider, "entity").groupBy("document").agg(F.min("entity").alias("via"))
+
+
+def sections_as_of(versions: DataFrame, observed: Column) -> DataFrame:
+    """The sections known at an instant. versions: known_from, known_to."""
+    return versions.where((F.col("known_from") <= observed) & (F.col("known_to").isNull() | (observed < F.col("known_to"))))
+
+
+def lexical_text(stored: DataFrame, made: DataFrame) -> DataFrame:
+    """section, text to rank by words: the stored section's label and text, and where a document has none stored the one made from its summary.
+
+    stored: document, section, label, text; made: document, text.
+    """
+    own = stored.select("document", "section", F.concat_ws(" ", "label", "text").alias("text"))
+    rest = made.join(stored.select("document").distinct(), "document", "left_anti").select("document", F.concat(F.col("document").cast("string"), F.lit("#made")).alias("section"), "text")
+    return own.unionByName(rest)
+
+
+def fuse_documents(rankings: list[DataFrame], scope: DataFrame, k: int) -> DataFrame:
+    """document, section, score, rank of the k best documents: reciprocal ranks of sections (document, section, rank) summed, DEPTH each, BOOST times for documents in scope; a document stands for its best section, ties by section."""
+    every = None
+    for ranking in rankings:
+        own = ranking.where(F.col("rank") <= DEPTH).select("document", "section", (1.0 / (RRF + F.col("rank"))).alias("_s"))
+        every = own if every is None else every.unionByName(own)
+    boosted = every.groupBy("document", "section").agg(F.sum("_s").alias("_s")).join(scope.select("document").distinct().withColumn("_in", F.lit(True)), "document", "left")
+    scored = boosted.withColumn("score", F.round(F.col("_s") * F.when(F.col("_in"), BOOST).otherwise(1.0), 6))
+    best = scored.groupBy("document").agg(F.min(F.struct((-F.col("score")).alias("key"), "section")).alias("b")).select("document", "b.section", (-F.col("b.key")).alias("score"))
+    return best.orderBy(F.desc("score"), "document").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "document")))  # k rows
+
+
+def with_unmatched(found: DataFrame, scope: DataFrame, most: int) -> DataFrame:
+    """What a search found, then the documents in scope that it didn't match, by name, up to `most` of these: document, rank, matched."""
+    rest = scope.select("document").distinct().join(found.select("document"), "document", "left_anti").orderBy("document").limit(most)
+    after = rest.withColumn("rank", F.row_number().over(Window.orderBy("document")))  # `most` rows
+    last = found.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("_last"))  # one row
+    tail = after.join(F.broadcast(last)).select("document", (F.col("rank") + F.col("_last")).alias("rank"), F.lit(False).alias("matched"))
+    return found.select("document", "rank", F.lit(True).alias("matched")).unionByName(tail)

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 from palimpsest.functions.text import tokens
 from palimpsest.operators import knowledge as op
 from palimpsest.registry import query
+from palimpsest.sources import model as m
 from palimpsest.sources.model import table
 
 _WORDS = ["eaten", "the", "anand", "loser"]
@@ -74,7 +75,53 @@ def pending_embeddings(spark, sf_dir):
     return op.pending(d, d.where("section % 3 = 0"), "digest")
 
 
-@query("WITH m AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, rank() OVER (ORDER BY n DESC) AS place FROM m")
+@query(
+    f"""WITH {m.V}, l AS (SELECT event_id % 500 AS document, entity, valid_from AS f, valid_to AS t, observed_from AS o FROM v), s AS (SELECT entity FROM (SELECT DISTINCT entity, user_id FROM a) x WHERE user_id % 10 = 3), c AS (SELECT DISTINCT 'n' || (user_id % 25) AS entry, entity FROM a WHERE user_id % 2 = 1),
+    w AS (SELECT entity FROM s UNION SELECT entity FROM c WHERE entry IN (SELECT entry FROM c WHERE entity IN (SELECT entity FROM s)))
+    SELECT document, min(entity) AS via FROM l WHERE entity IN (SELECT entity FROM w) AND f <= TIMESTAMP '{m.T1}' AND (t IS NULL OR TIMESTAMP '{m.T1}' < t) AND o <= TIMESTAMP '{m.KNOWN}' GROUP BY 1"""
+)
 def documents_in_scope(spark, sf_dir):
-    counts = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))))  # one row a label
+    """Documents linked, as of two instants, to entities of a scope or to ones that share a catalog entry with them."""
+    v, a = m.versions(spark, sf_dir), m.assertions(spark, sf_dir)
+    links = v.select((F.col("event_id") % 500).alias("document"), "entity", "valid_from", "valid_to", F.col("observed_from").alias("known_from"))
+    scope = a.where("user_id % 10 = 3").select("entity").distinct()
+    aliases = a.where("user_id % 2 = 1").select(F.concat(F.lit("n"), F.col("user_id") % 25).alias("entry"), "entity").distinct()
+    return op.documents_as_of(links, scope, aliases, m.at(m.T1), m.at(m.KNOWN))
+
+
+_RANKED = """x AS (SELECT doc_id % 120 AS document, doc_id AS section, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), y AS (SELECT doc_id % 120 AS document, doc_id AS section, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents),
+ u AS (SELECT * FROM x WHERE r <= 50 UNION ALL SELECT * FROM y WHERE r <= 50), s AS (SELECT document, section, round(sum(1.0::DOUBLE / (60 + r)) * CASE WHEN document % 4 = 0 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM u GROUP BY document, section),
+ b AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY score DESC, section) AS n FROM s), t AS (SELECT document, section, score, row_number() OVER (ORDER BY score DESC, document) AS rank FROM b WHERE n = 1 ORDER BY score DESC, document LIMIT 10)"""
+
+
+def _fused(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 120).alias("document"), F.col("doc_id").alias("section"), "n_chars")
+    best = lambda order: d.orderBy(order, "section").limit(50).withColumn("rank", F.row_number().over(Window.orderBy(order, "section")))
+    scope = d.where("document % 4 = 0").select("document").distinct()
+    return op.fuse_documents([best(F.desc("n_chars")), best(F.asc("n_chars"))], scope, 10), scope
+
+
+@query(f"WITH {_RANKED} SELECT * FROM t")
+def search_fusion(spark, sf_dir):
+    """Two rankings of sections fused into documents, each by its best section."""
+    return _fused(spark, sf_dir)[0]
+
+
+@query(f"WITH {_RANKED}, q AS (SELECT DISTINCT doc_id % 120 AS document FROM documents WHERE (doc_id % 120) % 4 = 0 AND doc_id % 120 NOT IN (SELECT document FROM t)) SELECT document, rank, true AS matched FROM t UNION ALL SELECT document, (SELECT max(rank) FROM t) + row_number() OVER (ORDER BY document), false FROM (SELECT * FROM q ORDER BY document LIMIT 5) z")
+def search_unmatched_tail(spark, sf_dir):
+    """What was found, then documents in scope that weren't matched."""
+    return op.with_unmatched(*_fused(spark, sf_dir), 5)
+
+
+@query("WITH s AS (SELECT doc_id % 300 AS document, CAST(doc_id AS VARCHAR) AS section, source || ' ' || lang AS text FROM documents WHERE doc_id % 300 < 100), m AS (SELECT DISTINCT doc_id % 300 AS document FROM documents) SELECT * FROM s UNION ALL SELECT document, document || '#made', 'summary ' || document FROM m WHERE document NOT IN (SELECT document FROM s)")
+def lexical_texts(spark, sf_dir):
+    """Stored sections, and made ones for the documents without any."""
+    d = table(spark, sf_dir, "documents").withColumn("document", F.col("doc_id") % 300)
+    stored = d.where("document < 100").select("document", F.col("doc_id").cast("string").alias("section"), F.col("source").alias("label"), F.col("lang").alias("text"))
+    made = d.select("document").distinct().select("document", F.concat(F.lit("summary "), "document").alias("text"))
+    return op.lexical_text(stored, made)
+
+
+@query(f"WITH {_PUTS}, n AS (SELECT *, lag(digest) OVER w AS old FROM h WINDOW w AS (PARTITION BY document ORDER BY put)), k AS (SELECT * FROM n WHERE digest IS DISTINCT FROM old), z AS (SELECT document, digest, put AS known_from, lead(put) OVER (PARTITION BY document ORDER BY put) AS known_to FROM k) SELECT document, digest FROM z WHERE known_from <= 4 AND (known_to IS NULL OR 4 < known_to)")
+def sections_as_of(spark, sf_dir):
+    return op.sections_as_of(op.section_versions(_puts(spark, sf_dir)), F.lit(4)).select("document", "digest")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from palimpsest.registry import query
 from palimpsest.sources import log as op
 from palimpsest.sources import model as m
+from palimpsest.sources.model import table
 
 _TWICE = f"WITH {m.A}, d AS (SELECT event_id, entity, state, value, 1 AS arrival FROM a UNION ALL SELECT event_id, entity, state, CASE WHEN event_id % 20 = 0 THEN value + 1 ELSE value END, 2 FROM a WHERE event_id % 10 = 0)"
 
@@ -84,3 +85,61 @@ def idempotency_key(spark, sf_dir):
     explicit = F.when(F.col("k") % 4 == 0, F.concat(F.lit("key-"), "event_id"))
     alert = F.when(F.col("state") == "error", F.concat(F.lit("alert-"), "entity", F.lit("-"), "event_id"))
     return m.assertions(spark, sf_dir).select("event_id", op.idempotency_key(explicit, alert, F.col("event_id")).alias("idempotency_key"))
+
+
+_N = "n AS (SELECT o_orderkey AS i, o_orderkey % 17 AS k FROM orders)"
+_ENVELOPE = """e AS (SELECT i, k, CASE WHEN k = 0 THEN NULL ELSE i END AS event_id, CASE k WHEN 4 THEN 'retract_node' WHEN 6 THEN 'identity_claim' WHEN 7 THEN 'record_investigation' WHEN 11 THEN 'upsert_edge' WHEN 12 THEN 'confirm_merge' WHEN 13 THEN 'confirm_merge' WHEN 14 THEN 'retract_edge' WHEN 2 THEN 'nothing' ELSE 'upsert_node' END AS type FROM n)"""
+
+
+@query(
+    f"""WITH {_N}, {_ENVELOPE} SELECT i, CASE k WHEN 0 THEN 'missing_event_id' WHEN 1 THEN 'missing_source' WHEN 2 THEN 'untyped' WHEN 3 THEN 'unknown_schema_version' WHEN 4 THEN 'missing_ref' WHEN 5 THEN 'unknown_type' WHEN 6 THEN 'correlation_as_identity' WHEN 7 THEN 'prop_namespace' WHEN 8 THEN 'secret_value'
+    WHEN 9 THEN 'telemetry_payload' WHEN 10 THEN 'telemetry_payload' WHEN 11 THEN 'missing_ref' WHEN 12 THEN 'missing_principal' WHEN 14 THEN 'ref_unresolvable' WHEN 15 THEN 'missing_valid_time' WHEN 16 THEN 'unknown_source' END AS reason FROM e WHERE k <> 13"""
+)
+def event_validation(spark, sf_dir):
+    """Envelopes that break each published rule in turn; the rejected ones keep their payload."""
+    envelopes = _envelopes(spark, sf_dir)
+    _, rejected = op.admitted(envelopes, spark.createDataFrame([("s",)], "source_id string"), ["1.0", "1.1"])
+    return rejected.select(F.get_json_object("payload", "$.i").cast("long").alias("i"), "reason")
+
+
+@query(f"WITH {_N} SELECT i FROM n WHERE k = 13")
+def events_accepted(spark, sf_dir):
+    return op.admitted(_envelopes(spark, sf_dir), spark.createDataFrame([("s",)], "source_id string"), ["1.0", "1.1"])[0].select("i")
+
+
+def _envelopes(spark, sf_dir):
+    i, k = F.col("o_orderkey"), F.col("o_orderkey") % 17
+    kind = F.when(k == 4, "retract_node").when(k == 6, "identity_claim").when(k == 7, "record_investigation").when(k == 11, "upsert_edge").when(k.isin(12, 13), "confirm_merge").when(k == 14, "retract_edge").when(k == 2, "nothing").otherwise("upsert_node")
+    props = F.when(k == 7, '{"sre.investigation.x": 1, "other": 2}').when(k == 8, '{"kind": "secret", "value": "x"}').when(k == 9, '{"a": {"span_id": "x"}}').when(k == 10, '{"a": [1, 2.5]}').otherwise('{"replicas": 3, "ports": [80]}')
+    return table(spark, sf_dir, "orders").select(
+        i.alias("i"), F.when(k != 0, i.cast("string")).alias("event_id"), F.when(k == 1, "").when(k == 16, "stranger").otherwise("s").alias("source_id"), F.when(k == 3, "9").otherwise("1.0").alias("schema_version"), kind.alias("type"),
+        F.when(k != 4, "ns=v").alias("ref"), F.when(k != 11, "ns=a").alias("src"), F.lit("ns=b").alias("dst"), (k != 5).alias("known_type"), F.when(k != 15, F.col("o_orderdate")).alias("valid_at"), F.lit(False).alias("valid_from_unknown"),
+        F.when(k == 6, "deploy.release").otherwise("host").alias("claim_namespace"), props.alias("props"), F.when(k != 12, "someone").alias("principal"), (k != 14).alias("resolvable"),
+    )
+
+
+@query("WITH b AS (SELECT 's' || (event_id % 7) AS source_id, 'kind' || (event_id % 3) AS kind, ts FROM events) SELECT source_id, arg_max(kind, (ts, kind)) AS kind, epoch_us(min(ts)) AS registered_at, epoch_us(max(ts)) AS seen_at FROM b GROUP BY 1")
+def source_registration(spark, sf_dir):
+    """Registrations in two batches: the first one's time and the last one's kind."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    rows = e.select(F.concat(F.lit("s"), i % 7).alias("source_id"), F.concat(F.lit("kind"), i % 3).alias("kind"), F.col("ts").cast("timestamp").alias("at"), i)
+    none = spark.createDataFrame([], "source_id string, kind string, registered_at timestamp, seen_at timestamp")
+    first = op.registered(none, rows.where("event_id % 2 = 0"))
+    return op.registered(first, rows.where("event_id % 2 = 1")).withColumn("registered_at", m.micros("registered_at")).withColumn("seen_at", m.micros("seen_at"))
+
+
+@query(f"WITH {m.A} SELECT source, epoch_us(min(observed_from)) AS extent_from, epoch_us(max(observed_from)) AS extent_to, max(event_id) AS last_event, count(*) AS events FROM a WHERE observed_from > TIMESTAMP '{m.T1}' AND observed_from <= TIMESTAMP '{m.T2}' GROUP BY 1")
+def checkpoint_write(spark, sf_dir):
+    found = op.checkpointed(m.assertions(spark, sf_dir), "source", m.at(m.T2), m.at(m.T1))
+    return found.select("source", m.micros("extent_from").alias("extent_from"), m.micros("extent_to").alias("extent_to"), "last_event", "events")
+
+
+@query(
+    f"""WITH {m.A}, l AS (SELECT * FROM a WHERE event_id <= 700), n AS (SELECT *, lead(valid_from) OVER (PARTITION BY entity, source ORDER BY valid_from, event_id) AS nxt FROM l)
+    SELECT entity, source, state, epoch_us(valid_from) AS valid_from, epoch_us(nxt) AS valid_to FROM n"""
+)
+def log_replay(spark, sf_dir):
+    """Segments of all entities from a prefix of the log, as the projector of record folds them."""
+    a = m.assertions(spark, sf_dir).where("event_id <= 700")
+    events = a.select("entity", F.lit("upsert").alias("kind"), "source", "state", m.micros("valid_from").alias("t"), F.lit(0).alias("observed"), F.col("event_id").alias("seq"))
+    return op.replayed(events, F.lit(700))
