@@ -123,3 +123,90 @@ def citations(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     known = cited.groupBy("claim").agg(F.flatten(F.collect_list(F.regexp_extract_all("digest", number, F.lit(0)))).alias("known"))
     out = claims.join(known, "claim", "left").withColumn("said", F.regexp_extract_all("text", number, F.lit(0)))
     return out.select("claim", F.when(F.col("known").isNull(), "removed").when(F.size(F.array_except("said", "known")) > 0, "demoted").otherwise("supported").alias("verdict"))
+
+
+#: The names of confidence buckets and their upper bounds, for calibration by name.
+NAMED = (("very_low", 0.10), ("low", 0.30), ("moderate", 0.60), ("high", 0.85), ("very_high", 1.01))
+
+
+def named_calibration(rows: DataFrame, probability: Column, outcome: Column) -> DataFrame:
+    """bucket, n, forecast, observed, gap by the named buckets, and how far forecast and outcome are apart in each."""
+    name = F.lit(None).cast("string")
+    for label, high in reversed(NAMED):
+        name = F.when(probability < high, label).otherwise(name)
+    own = rows.select(name.alias("bucket"), probability.alias("p"), outcome.cast("double").alias("y"))
+    out = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("forecast"), F.round(F.avg("y"), 6).alias("observed"))
+    return out.withColumn("gap", F.round(F.abs(F.col("forecast") - F.col("observed")), 6))
+
+
+def calibration_error(rows: DataFrame, probability: Column, outcome: Column) -> DataFrame:
+    """error: the gaps of named_calibration() weighed by their numbers."""
+    own = named_calibration(rows, probability, outcome)
+    return own.agg(F.round(F.sum(F.col("gap") * F.col("n")) / F.sum("n"), 6).alias("error"))
+
+
+def resolution_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """rule, n, right, precision, brier of the pairs (pair, rule, score) that rules found, against the true ones (pair)."""
+    own = found.join(truth.select("pair").distinct().withColumn("_t", F.lit(1.0)), "pair", "left").withColumn("y", F.coalesce("_t", F.lit(0.0)))
+    out = own.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("right"), F.round(F.avg((F.col("score") - F.col("y")) ** 2), 6).alias("brier"))
+    return out.withColumn("precision", F.round(F.col("right") / F.col("n"), 6))
+
+
+def citation_validity(verdicts: DataFrame, group: str) -> DataFrame:
+    """group, claims, valid: the share of claims whose citation holds (verdict supported)."""
+    return verdicts.groupBy(group).agg(F.count(F.lit(1)).alias("claims"), F.round(F.avg((F.col("verdict") == "supported").cast("double")), 6).alias("valid"))
+
+
+def agreement(labels: DataFrame) -> DataFrame:
+    """labelled, agreed, rate: of the investigations that people labelled how many they agreed with; the last label of each counts."""
+    last = labels.groupBy("investigation").agg(F.max_by("agrees", "seq").alias("agrees"))
+    return last.agg(F.count("agrees").alias("labelled"), F.count_if("agrees").alias("agreed")).withColumn("rate", F.round(F.try_divide(F.col("agreed"), F.col("labelled")), 6))
+
+
+def expectations(candidates: DataFrame, table: DataFrame, answered: DataFrame) -> DataFrame:
+    """candidate, missing: for each candidate (candidate, category) the families that its category expects (category, family, decisive) and that nothing answered (candidate, family); decisive ones alone."""
+    wanted = candidates.join(table.where("decisive"), "category").select("candidate", "family")
+    left = wanted.join(answered.select("candidate", "family").distinct(), ["candidate", "family"], "left_anti")
+    return left.groupBy("candidate").agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("missing"))
+
+
+def search_space(entities: DataFrame, edges: DataFrame, gaps: DataFrame, most_entities: int = 40, most_edges: int = 80) -> DataFrame:
+    """incident, entities, edges, blind, fits: how large an investigation's graph is, and how many of its sources have a gap in it; it fits within the published bounds."""
+    n = entities.groupBy("incident").agg(F.countDistinct("entity").alias("entities"))
+    e = edges.groupBy("incident").agg(F.countDistinct("edge").alias("edges"))
+    b = entities.join(gaps.select("source").distinct(), "source").groupBy("incident").agg(F.countDistinct("source").alias("blind"))
+    out = n.join(e, "incident", "left").join(b, "incident", "left").na.fill(0, ["edges", "blind"])
+    return out.withColumn("fits", (F.col("entities") <= most_entities) & (F.col("edges") <= most_edges))
+
+
+def audit_movement(before: DataFrame, after: DataFrame, key: str, metric: str) -> DataFrame:
+    """key, before, after, movement (improved, worse, same, new or gone) of a metric between two audits; nearer than 1e-9 is the same."""
+    both = before.select(key, F.col(metric).alias("before")).join(after.select(key, F.col(metric).alias("after")), key, "full_outer")
+    change = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").when(F.abs(F.col("after") - F.col("before")) < 1e-9, "same").when(F.col("after") > F.col("before"), "improved").otherwise("worse")
+    return both.withColumn("movement", change)
+
+
+def uncovered(categories: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Categories that no fixture has."""
+    return categories.select("category").distinct().join(fixtures.select("category"), "category", "left_anti")
+
+
+def report_rows(measures: DataFrame, fixture: str, metrics: list[str]) -> DataFrame:
+    """scope, name, metric, value, n: every metric's mean by fixture, and over the corpus with each fixture weighing alike."""
+    long = measures.select(fixture, F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value")) for x in metrics))).alias("m")).select(fixture, "m.*").where("value IS NOT NULL")
+    per = long.groupBy(F.col(fixture).cast("string").alias("name"), "metric").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("value"), F.count(F.lit(1)).alias("n")).select(F.lit("corpus").alias("scope"), F.lit("").alias("name"), "metric", "value", "n")
+    return per.select(F.lit("fixture").alias("scope"), "name", "metric", F.round("value", 6).alias("value"), "n").unionByName(whole)
+
+
+def deploy_gaps(listed: DataFrame, found: DataFrame, excluded: DataFrame, id_: str) -> DataFrame:
+    """listed, excluded, matched, missing, extra, ratio of deploys: those a platform lists but a rule excludes count for neither side."""
+    a = listed.select(id_).distinct().withColumn("_l", F.lit(True))
+    b = found.select(id_).distinct().withColumn("_f", F.lit(True))
+    x = excluded.select(id_).distinct().withColumn("_x", F.lit(True))
+    both = a.join(b, id_, "full_outer").join(x, id_, "left")
+    counted = both.agg(
+        F.count_if(F.col("_l") & F.col("_x").isNull()).alias("listed"), F.count_if(F.col("_l") & F.col("_x").isNotNull()).alias("excluded"), F.count_if(F.col("_l") & F.col("_f") & F.col("_x").isNull()).alias("matched"),
+        F.count_if(F.col("_l") & F.col("_f").isNull() & F.col("_x").isNull()).alias("missing"), F.count_if(F.col("_l").isNull() & F.col("_x").isNull()).alias("extra"),
+    )
+    return counted.withColumn("ratio", F.round(F.try_divide(F.col("matched"), F.col("listed")), 6))

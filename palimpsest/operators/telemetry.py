@@ -188,3 +188,60 @@ def onset(points: DataFrame, key: str, at: str, value: str) -> DataFrame:
         return pd.DataFrame([(series["key"].iloc[0], *found)], columns=[c.split()[0] for c in ONSET.split(", ")])
 
     return once.groupBy("key").applyInPandas(run, ONSET)
+
+
+def aligned(points: DataFrame, key: str, at: str, value: str, seconds: int, how: str = "mean") -> DataFrame:
+    """key, window (its start, epoch-aligned seconds), value, n: a series downsampled by mean, sum, max, min, count or last."""
+    window = (F.floor(F.unix_seconds(at) / seconds) * seconds).alias("window")
+    agg = {"mean": F.avg(value), "sum": F.sum(value), "max": F.max(value), "min": F.min(value), "count": F.count(value).cast("double"), "last": F.max_by(value, at)}
+    if how not in agg:
+        raise ValueError(f"no alignment is named {how}")
+    return points.groupBy(key, window).agg(F.round(agg[how], 6).alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def series_stats(points: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, total, mean, most, least of a series."""
+    return points.groupBy(key).agg(F.count(value).alias("n"), F.round(F.sum(value), 6).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("most"), F.min(value).alias("least"))
+
+
+def stopped_flows(compared: DataFrame, fall: float = 0.5) -> DataFrame:
+    """Comparisons (before, after, separable) that fell by at least `fall` of what was before."""
+    share = F.when(F.col("before") > 0, (F.col("before") - F.col("after")) / F.col("before")).otherwise(0.0)
+    return compared.withColumn("fall", F.round(share, 6)).where(F.col("separable") & (F.col("after") < F.col("before")) & (F.col("fall") >= fall))
+
+
+def state_spans(states: DataFrame, key: str, at: str, start: Column, end: Column) -> DataFrame:
+    """key, at_start, at_end, transitions of a state over a window: the last state before it, the last in it, and how often it changed inside."""
+    order = F.struct(at, "event_id")
+    old = Window.partitionBy(key).orderBy(at, "event_id")
+    own = states.where(F.col(at) < end).withColumn("_old", F.lag("state").over(old))
+    before, inside = F.col(at) < start, F.col(at) >= start
+    return own.groupBy(key).agg(F.max_by(F.when(before, F.col("state")), F.when(before, order)).alias("at_start"), F.max_by("state", order).alias("at_end"), F.count_if(inside & ~F.col("state").eqNullSafe(F.col("_old"))).alias("transitions"))
+
+
+def compare_windows(rows: DataFrame, end: Column, lookback: Column, horizon: Column) -> DataFrame:
+    """rows with baseline_from, symptom_from and symptom_to (seconds): each window half the lookback wide, at most 30 minutes,
+    15 where the lookback isn't positive; a symptom that ends beyond the horizon slides back to it."""
+    half = F.when(lookback > 0, F.least(lookback / 2, F.lit(1800.0))).otherwise(900.0)
+    last = F.least(end, horizon)
+    return rows.withColumns({"baseline_from": F.round(last - 2 * half, 6), "symptom_from": F.round(last - half, 6), "symptom_to": last})
+
+
+def latency(samples: DataFrame, family: str, value: str) -> DataFrame:
+    """family, n, p50, p95, p99, most, mean of measured latencies, by nearest rank."""
+    listed = samples.groupBy(family).agg(F.array_sort(F.collect_list(value)).alias("v"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"))
+    at = lambda q: F.element_at("v", F.greatest(F.lit(1), F.ceil(F.size("v") * F.lit(q)).cast("int")))
+    return listed.select(family, F.size("v").cast("long").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), "most", "mean")
+
+
+def error_kinds(spans: DataFrame, operation: str, kind: str, value: str) -> DataFrame:
+    """operation, kind, n, mean, p95 of error spans, by what failed and how."""
+    listed = spans.groupBy(operation, kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.array_sort(F.collect_list(value)).alias("v"))
+    return listed.select(operation, kind, "n", "mean", F.element_at("v", F.ceil(F.size("v") * F.lit(0.95)).cast("int")).alias("p95"))
+
+
+def median_gaps(points: DataFrame, key: str, at: str) -> DataFrame:
+    """key, resolution: the lower median of the seconds between neighbouring points."""
+    gap = F.unix_seconds(at) - F.unix_seconds(F.lag(at).over(Window.partitionBy(key).orderBy(at)))
+    listed = points.select(key, at).distinct().withColumn("g", gap).where("g IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list("g")).alias("v"))
+    return listed.select(key, F.element_at("v", F.ceil(F.size("v") / 2).cast("int")).alias("resolution"))

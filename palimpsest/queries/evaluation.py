@@ -97,3 +97,81 @@ def deploy_coverage(spark, sf_dir):
     sides = reconcile(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 5 = 1"), "id")
     out = sides.agg(F.count_if(F.col("side") != "extra").alias("listed"), *(F.count_if(F.col("side") == s).alias(s) for s in ("matched", "missing", "extra")))
     return out.withColumn("ratio", F.round(F.col("matched") / F.col("listed"), 6))
+
+
+_P = "p AS (SELECT o_orderkey, (o_orderkey % 97) / 96 AS p, CASE WHEN o_orderkey % 5 < 2 THEN 1.0 ELSE 0.0 END AS y FROM orders), b AS (SELECT CASE WHEN p < 0.1 THEN 'very_low' WHEN p < 0.3 THEN 'low' WHEN p < 0.6 THEN 'moderate' WHEN p < 0.85 THEN 'high' ELSE 'very_high' END AS bucket, p, y FROM p), g AS (SELECT bucket, count(*) AS n, round(avg(p), 6) AS forecast, round(avg(y), 6)::DOUBLE AS observed FROM b GROUP BY 1)"
+
+
+@query(f"WITH {_P} SELECT *, round(abs(forecast - observed), 6) AS gap FROM g")
+def named_calibration(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return op.named_calibration(table(spark, sf_dir, "orders"), (k % 97) / 96, k % 5 < 2)
+
+
+@query(f"WITH {_P} SELECT round(sum(round(abs(forecast - observed), 6) * n) / sum(n), 6) AS error FROM g")
+def calibration_error(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return op.calibration_error(table(spark, sf_dir, "orders"), (k % 97) / 96, k % 5 < 2)
+
+
+@query("WITH f AS (SELECT o_orderkey AS pair, 'R' || (o_custkey % 5) AS rule, 0.4 + 0.1 * (o_custkey % 5) AS score, o_orderkey % 3 = 0 AS t FROM orders) SELECT rule, count(*) AS n, count(*) FILTER (WHERE t) AS right, round(avg((score - CASE WHEN t THEN 1.0 ELSE 0 END) ** 2), 6)::DOUBLE AS brier, round(count(*) FILTER (WHERE t) / count(*), 6) AS precision FROM f GROUP BY 1".replace("AS right", 'AS "right"').replace("AS precision", 'AS "precision"'))
+def resolution_quality(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), F.col("o_custkey") % 5
+    found = o.select(F.col("o_orderkey").alias("pair"), F.concat(F.lit("R"), c).alias("rule"), (0.4 + 0.1 * c).alias("score"))
+    return op.resolution_quality(found.distinct(), found.where("pair % 3 = 0"))
+
+
+@query("SELECT o_custkey % 10 AS incident, count(*) AS claims, round(avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0 END), 6)::DOUBLE AS valid FROM orders GROUP BY 1")
+def citation_validity(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("incident"), F.when(F.col("o_orderkey") % 3 == 0, "supported").otherwise("demoted").alias("verdict"))
+    return op.citation_validity(rows, "incident")
+
+
+@query("WITH l AS (SELECT o_custkey AS i, arg_max(CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END, o_orderkey) FILTER (WHERE o_orderkey % 3 < 2) AS x, max(o_orderkey) AS m FROM orders GROUP BY 1), q AS (SELECT CASE (SELECT 1) WHEN 1 THEN CASE m % 3 WHEN 0 THEN true WHEN 1 THEN false END END AS a FROM l) SELECT count(a) AS labelled, count(*) FILTER (WHERE a) AS agreed, round(count(*) FILTER (WHERE a) / count(a), 6) AS rate FROM q")
+def human_agreement(spark, sf_dir):
+    """The last label of each investigation; one that says neither doesn't count."""
+    k = F.col("o_orderkey")
+    return op.agreement(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("investigation"), k.alias("seq"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("agrees")))
+
+
+@query("WITH c AS (SELECT c_custkey AS candidate, c_mktsegment AS category FROM customer), t AS (SELECT DISTINCT c_mktsegment AS category, 'f' || (c_nationkey % 4) AS family FROM customer WHERE c_nationkey % 3 > 0), a AS (SELECT DISTINCT o_custkey AS candidate, 'f' || (o_orderkey % 4) AS family FROM orders), m AS (SELECT candidate, family FROM c JOIN t USING (category) EXCEPT SELECT * FROM a) SELECT candidate, string_agg(family, ',' ORDER BY family) AS missing FROM m GROUP BY 1")
+def expectation_table(spark, sf_dir):
+    """Decisive families that a candidate's category expects and nothing has answered."""
+    c = table(spark, sf_dir, "customer")
+    wanted = c.select(F.col("c_mktsegment").alias("category"), F.concat(F.lit("f"), F.col("c_nationkey") % 4).alias("family"), (F.col("c_nationkey") % 3 > 0).alias("decisive")).distinct()
+    answered = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("candidate"), F.concat(F.lit("f"), F.col("o_orderkey") % 4).alias("family"))
+    return op.expectations(c.select(F.col("c_custkey").alias("candidate"), F.col("c_mktsegment").alias("category")), wanted, answered)
+
+
+@query("WITH n AS (SELECT o_custkey % 40 AS incident, o_custkey AS entity, 's' || (o_custkey % 7) AS source, o_orderkey AS edge FROM orders) SELECT incident, count(DISTINCT entity) AS entities, count(DISTINCT edge) AS edges, count(DISTINCT source) FILTER (WHERE source IN ('s1', 's2')) AS blind, count(DISTINCT entity) <= 40 AND count(DISTINCT edge) <= 80 AS fits FROM n GROUP BY 1")
+def search_space(spark, sf_dir):
+    """How large an investigation's graph is and how many of its sources have gaps."""
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("incident"), F.col("o_custkey").alias("entity"), F.concat(F.lit("s"), F.col("o_custkey") % 7).alias("source"), F.col("o_orderkey").alias("edge"))
+    return op.search_space(rows, rows, spark.createDataFrame([("s1",), ("s2",), ("s9",)], "source string"))
+
+
+@query("WITH x AS (SELECT c_custkey AS id, c_custkey % 7 / 7 AS v FROM customer WHERE c_custkey % 5 > 0), y AS (SELECT c_custkey AS id, c_custkey % 5 / 5 AS v FROM customer WHERE c_custkey % 6 > 0) SELECT coalesce(x.id, y.id) AS id, x.v AS before, y.v AS after, CASE WHEN x.id IS NULL THEN 'new' WHEN y.id IS NULL THEN 'gone' WHEN abs(y.v - x.v) < 1e-9 THEN 'same' WHEN y.v > x.v THEN 'improved' ELSE 'worse' END AS movement FROM x FULL OUTER JOIN y ON x.id = y.id")
+def audit_movement(spark, sf_dir):
+    i = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    return op.audit_movement(c.where(i % 5 > 0).select(i.alias("id"), (i % 7 / 7).alias("v")), c.where(i % 6 > 0).select(i.alias("id"), (i % 5 / 5).alias("v")), "id", "v")
+
+
+@query("SELECT DISTINCT p_brand AS category FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 48)")
+def uncovered_categories(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "category")
+    return op.uncovered(p, p.where("p_size > 48"))
+
+
+@query("WITH f AS (SELECT CAST(c_nationkey AS VARCHAR) AS name, avg(c_acctbal) AS a, avg(CASE WHEN c_custkey % 2 = 0 THEN 1.0 END) AS b, count(*) AS n, count(*) FILTER (WHERE c_custkey % 2 = 0) AS m FROM customer GROUP BY 1), l AS (SELECT name, 'c_acctbal' AS metric, a AS v, n FROM f UNION ALL SELECT name, 'even', b, m FROM f WHERE m > 0) SELECT 'fixture' AS scope, name, metric, round(v, 6)::DOUBLE AS value, n FROM l UNION ALL SELECT 'corpus', '', metric, round(avg(v), 6)::DOUBLE, count(*) FROM l GROUP BY metric")
+def report_rows(spark, sf_dir):
+    """Metrics by fixture, and over the corpus with every fixture weighing alike."""
+    c = table(spark, sf_dir, "customer").withColumn("even", F.when(F.col("c_custkey") % 2 == 0, 1.0))
+    return op.report_rows(c, "c_nationkey", ["c_acctbal", "even"])
+
+
+@query("WITH l AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 2 = 0), f AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 5 = 1), b AS (SELECT coalesce(l.id, f.id) AS id, l.id IS NOT NULL AS l, f.id IS NOT NULL AS f FROM l FULL OUTER JOIN f ON l.id = f.id), x AS (SELECT *, id % 6 = 0 AS x FROM b) SELECT count(*) FILTER (WHERE l AND NOT x) AS listed, count(*) FILTER (WHERE l AND x) AS excluded, count(*) FILTER (WHERE l AND f AND NOT x) AS matched, count(*) FILTER (WHERE l AND NOT f AND NOT x) AS missing, count(*) FILTER (WHERE NOT l AND NOT x) AS extra, round(count(*) FILTER (WHERE l AND f AND NOT x) / count(*) FILTER (WHERE l AND NOT x), 6) AS ratio FROM x")
+def deploy_gaps(spark, sf_dir):
+    """Coverage of deploys, without those that a rule excludes."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    return op.deploy_gaps(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 5 = 1"), o.where("id % 6 = 0"), "id")

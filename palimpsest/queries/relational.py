@@ -167,3 +167,51 @@ def session_windows(spark, sf_dir):
 def sliding_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("ts", "12 hours", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("w.start").alias("start"), "n")
+
+
+@query("WITH e AS (SELECT DISTINCT s_suppkey AS src, (s_suppkey * 3 + s_nationkey) % 60 AS dst FROM supplier) SELECT DISTINCT x.src AS node, x.dst AS via, y.dst AS far FROM e x JOIN e y ON y.src = x.dst WHERE y.dst <> x.src")
+def two_hop_join(spark, sf_dir):
+    i = F.col("s_suppkey")
+    edges = table(spark, sf_dir, "supplier").select(i.alias("src"), ((i * 3 + F.col("s_nationkey")) % 60).alias("dst")).distinct()
+    return op.two_hops(edges, edges.select(F.col("src").alias("node")).distinct())
+
+
+@query("SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_custkey % 97 = s_suppkey % 97 OR c_nationkey * 1000 + c_custkey % 10 = s_nationkey * 1000 + s_suppkey % 10")
+def disjunctive_join(spark, sf_dir):
+    """Pairs that agree on one of two keys."""
+    c = table(spark, sf_dir, "customer").withColumn("a", F.col("c_custkey") % 97).withColumn("b", F.col("c_nationkey") * 1000 + F.col("c_custkey") % 10)
+    s = table(spark, sf_dir, "supplier").withColumn("x", F.col("s_suppkey") % 97).withColumn("y", F.col("s_nationkey") * 1000 + F.col("s_suppkey") % 10)
+    return op.any_of(c, s, [("a", "x"), ("b", "y")], "c_custkey", "s_suppkey")
+
+
+@query(
+    """WITH p AS (SELECT event_id, user_id, value FROM events WHERE event_id % 3 = 0), r AS (SELECT event_id AS id, user_id, value FROM events WHERE event_id % 3 = 1), j AS (SELECT p.event_id, r.id, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.value - r.value), r.value, r.id) AS n FROM p JOIN r ON r.user_id = p.user_id AND abs(p.value - r.value) <= 5)
+    SELECT p.event_id, j.id AS near FROM p LEFT JOIN j ON j.event_id = p.event_id AND n = 1"""
+)
+def nearest_match(spark, sf_dir):
+    """The row of the same key whose value is nearest, if one is near."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    return op.nearest(e.where("event_id % 3 = 0"), e.where("event_id % 3 = 1"), "user_id", "value", "event_id", 5.0).select("event_id", "near")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100)")
+def queue_pop(spark, sf_dir):
+    """A queue without its first hundred rows."""
+    return op.popped(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], 100)[1].select("o_orderkey")
+
+
+@query(
+    """WITH r AS (SELECT o_custkey, o_orderkey, length(o_orderpriority) AS s, row_number() OVER w AS n, sum(length(o_orderpriority)) OVER (w ROWS UNBOUNDED PRECEDING) AS t, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    k AS (SELECT r.o_custkey, max(h) AS kept FROM r JOIN (SELECT DISTINCT o_custkey, greatest(1, c // (1 << i)) AS h FROM r, range(0, 17) g(i)) z ON z.o_custkey = r.o_custkey AND r.n = z.h WHERE t <= 60 GROUP BY 1) SELECT r.o_custkey, o_orderkey, coalesce(kept, 1) < c AS cut FROM r LEFT JOIN k ON k.o_custkey = r.o_custkey WHERE n <= coalesce(kept, 1)"""
+)
+def size_cap_by_halving(spark, sf_dir):
+    """Rows of a digest, halved in number until it fits its size."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.length("o_orderpriority").alias("s"))
+    return op.halved(o, "o_custkey", "o_orderkey", "s", 60).select("o_custkey", "o_orderkey", "cut")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract(props, '$.k') IS NOT NULL AS has, CAST(json_extract_string(props, '$.k') AS INTEGER) = 7 AS is_seven FROM events")
+def json_operators(spark, sf_dir):
+    """A field of a document as text, whether it is there, and whether the document contains it with a value."""
+    bag = F.from_json("props", "map<string,string>")
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.map_contains_key(bag, F.lit("k")).alias("has"), (F.element_at(bag, F.lit("k")) == "7").alias("is_seven"))

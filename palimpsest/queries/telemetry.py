@@ -114,3 +114,51 @@ def dominant_version(spark, sf_dir):
     """Most hits; the larger version on a tie."""
     hits = m.assertions(spark, sf_dir).groupBy("entity", F.col("source").alias("version")).agg(F.sum("k").alias("hits"))
     return hits.groupBy("entity").agg(F.max(F.struct("hits", "version")).alias("m")).select("entity", "m.version", "m.hits")
+
+
+@query(f"WITH {m.A} SELECT entity, CAST(floor(epoch(valid_from) / 21600) AS BIGINT) * 21600 AS window, round(avg(value), 6) AS value, count(*) AS n FROM a GROUP BY 1, 2".replace("AS window,", 'AS "window",'))
+def alignment(spark, sf_dir):
+    """Series downsampled to six hours."""
+    return op.aligned(m.assertions(spark, sf_dir), "entity", "valid_from", "value", 21600)
+
+
+@query(f"WITH {m.A} SELECT entity, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, max(value) AS most, min(value) AS least FROM a GROUP BY 1")
+def series_stats(spark, sf_dir):
+    return op.series_stats(m.assertions(spark, sf_dir), "entity", "value")
+
+
+@query(f"WITH {m.A}, c AS (SELECT entity, avg(value) FILTER (WHERE k < 50) AS before, avg(value) FILTER (WHERE k >= 50) AS after, count(*) FILTER (WHERE k < 50) > 3 AS separable FROM a GROUP BY 1) SELECT entity, round((before - after) / before, 6) AS fall FROM c WHERE separable AND after < before AND round((before - after) / before, 6) >= 0.5")
+def stopped_flows(spark, sf_dir):
+    a, low = m.assertions(spark, sf_dir), F.col("k") < 50
+    compared = a.groupBy("entity").agg(F.avg(F.when(low, F.col("value"))).alias("before"), F.avg(F.when(~low, F.col("value"))).alias("after"), (F.count_if(low) > 3).alias("separable"))
+    return op.stopped_flows(compared).select("entity", "fall")
+
+
+@query(f"WITH {m.A}, s AS (SELECT *, lag(state) OVER (PARTITION BY entity ORDER BY valid_from, event_id) AS old FROM a WHERE valid_from < TIMESTAMP '{m.T2}') SELECT entity, arg_max(state, (valid_from, event_id)) FILTER (WHERE valid_from < TIMESTAMP '{m.T1}') AS at_start, arg_max(state, (valid_from, event_id)) AS at_end, count(*) FILTER (WHERE valid_from >= TIMESTAMP '{m.T1}' AND state IS DISTINCT FROM old) AS transitions FROM s GROUP BY 1")
+def state_spans(spark, sf_dir):
+    """A monitor's state at the start and end of a window, and its changes inside."""
+    return op.state_spans(m.assertions(spark, sf_dir), "entity", "valid_from", m.at(m.T1), m.at(m.T2))
+
+
+@query("WITH r AS (SELECT event_id, epoch(ts) AS e, (event_id % 9 - 2) * 600 AS l FROM events), h AS (SELECT event_id, least(e, 1705000000.0) AS t, CASE WHEN l > 0 THEN least(l / 2, 1800) ELSE 900 END AS w FROM r) SELECT event_id, round(t - 2 * w, 3) AS baseline_from, round(t - w, 3) AS symptom_from, round(t, 3) AS symptom_to FROM h")
+def compare_windows(spark, sf_dir):
+    """Windows of a comparison, slid back to what the log has."""
+    rows = m.table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("e"), ((F.col("event_id") % 9 - 2) * 600).alias("l"))
+    found = op.compare_windows(rows, F.col("e"), F.col("l"), F.lit(1705000000.0))
+    return found.select("event_id", *(F.round(c, 3).alias(c) for c in ("baseline_from", "symptom_from", "symptom_to")))
+
+
+@query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return op.latency(m.table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(f"WITH {m.A} SELECT source, 'kind' || (k % 3) AS kind, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.95) AS p95 FROM a WHERE state = 'error' GROUP BY 1, 2")
+def error_kinds(spark, sf_dir):
+    rows = m.assertions(spark, sf_dir).where("state = 'error'").withColumn("kind", F.concat(F.lit("kind"), F.col("k") % 3))
+    return op.error_kinds(rows, "source", "kind", "value")
+
+
+@query(f"WITH {m.A}, d AS (SELECT DISTINCT entity, valid_from FROM a), g AS (SELECT entity, CAST(floor(epoch(valid_from)) AS BIGINT) - CAST(floor(epoch(lag(valid_from) OVER (PARTITION BY entity ORDER BY valid_from))) AS BIGINT) AS g FROM d) SELECT entity, quantile_disc(g, 0.5) AS resolution FROM g WHERE g IS NOT NULL GROUP BY 1")
+def median_gaps(spark, sf_dir):
+    return op.median_gaps(m.assertions(spark, sf_dir), "entity", "valid_from")
