@@ -32,7 +32,7 @@ AXES = 64
 #: A search of n vectors ascends until its ranges hold BREADTH * n ** POWER vectors, LEAST at least, repeats counted.
 BREADTH, POWER, LEAST = 8, 0.6, 1_000
 #: Entries in a range of a tree, in a shard for scoring; queries that ascend together, and that meet a shard together.
-RANGE, SHARD, BLOCK, ASKING = 1 << 18, 16_384, 2_048, 16_384
+RANGE, SHARD, BLOCK, ASKING = 1 << 18, 8_192, 2_048, 16_384
 #: Vectors whose strings are worked out at a time, and that leave a task together.
 CHUNK, TOGETHER = 256, 16_384
 
@@ -232,6 +232,17 @@ def _counted(layout: Layout, blocks: int):
     return run
 
 
+def _placed(blocks: int):
+    """id and block of queries."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(b.schema.get_field_index("id"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(_block(ids.to_numpy(), blocks).astype(np.int32))], names=["id", "block"])
+
+    return run
+
+
 def _levels(length: int, enough: int):
     """How many symbols of each tree's string a query keeps when all trees ascend until their ranges hold enough; 0 in all of them is the root."""
 
@@ -272,8 +283,8 @@ def _found(layout: Layout, shards: int, blocks: int):
         order = np.argsort(place, kind="stable")
         place, entry, query = place[order], entry[order], query[order]
         edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(place) else [0]
-        out = [(int(place[i]) // blocks, int(place[i]) % blocks, query[i:j].tobytes(), entry[i:j].tobytes(), np.unique(query[i:j])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-        return pd.DataFrame(out, columns=["shard", "block", "queries", "entries", "asks"])
+        out = [(int(place[i]) // blocks, int(place[i]) % blocks, query[i:j].tobytes(), entry[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.DataFrame(out, columns=["shard", "block", "queries", "entries"])
 
     return run
 
@@ -287,7 +298,7 @@ def _scored(k: int):
         if len(entries) and len(asks):
             entries = entries.sort_values("h1")
             h1, ids = entries["h1"].to_numpy(), entries["ids"].to_numpy()
-            x = np.stack(entries["embedding"].to_numpy())
+            x = np.stack(entries["embedding"].to_numpy()).astype(np.float64)
             query, entry = _numbers(pairs["queries"]), _numbers(pairs["entries"])
             order = np.lexsort((entry, query))
             query, entry = query[order], entry[order]
@@ -295,10 +306,15 @@ def _scored(k: int):
             new[1:] = (query[1:] != query[:-1]) | (entry[1:] != entry[:-1])
             query, entry = query[new], entry[new]
             first, last = np.searchsorted(h1, entry), np.searchsorted(h1, entry, side="right")
+            twins = bool((last - first > 1).any())  # two vectors with one hash
             for own, vector, root in zip(asks["query_id"], asks["embedding"], asks["root"], strict=True):
                 i, j = np.searchsorted(query, own), np.searchsorted(query, own, side="right")
-                at = np.arange(len(x)) if root else np.concatenate([first[i:j], *(np.arange(a + 1, b) for a, b in zip(first[i:j], last[i:j], strict=True) if b > a + 1)]).astype(np.int64)
-                score = np.einsum("ij,j->i", x[at].astype(np.float64), np.asarray(vector, dtype=np.float64))
+                if i == j and not root:
+                    continue
+                at = np.arange(len(x)) if root else first[i:j]
+                if twins and not root:
+                    at = np.concatenate([np.arange(a, b) for a, b in zip(first[i:j], last[i:j], strict=True)])
+                score = np.einsum("ij,j->i", x[at], np.asarray(vector, dtype=np.float64))
                 best = np.flatnonzero(score >= np.partition(score, -k - 1)[-k - 1]) if len(score) > k + 1 else np.arange(len(score))
                 found = sorted((-score[b], v) for b in best for v in ids[at[b]] if v != own)[:k]
                 out["query_id"] += [own] * len(found)
@@ -370,11 +386,13 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     levels = asking.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(_levels(layout.length, enough), "id long, codes binary, levels binary, root boolean")
     levels = durable(levels, "ann-levels")
     asks = levels.where("not root").select("id", "codes", "levels").mapInArrow(_dealt(layout, True), DEALT)
-    found = has.unionByName(asks).groupBy("tree", "range", "part").applyInPandas(_found(layout, shards, meeting), "shard int, block int, queries binary, entries binary, asks array<long>")
+    found = has.unionByName(asks).groupBy("tree", "range", "part").applyInPandas(_found(layout, shards, meeting), "shard int, block int, queries binary, entries binary")
     found = durable(found, "ann-found")
-    to = found.select("shard", "block", F.explode("asks").alias("query_id")).distinct().withColumn("root", F.lit(False))
+    # A query looks at more vectors than there are shards, so all of a block go wherever one of them goes.
+    blocked = asking.mapInArrow(_placed(meeting), "id long, block int").withColumnRenamed("id", "query_id")
+    to = found.select("shard", "block").distinct().join(blocked, "block").select("shard", "block", "query_id", F.lit(False).alias("root"))
     roots = levels.where("root").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("block"), F.col("id").alias("query_id"), F.lit(True).alias("root"))
-    to = to.unionByName(roots).join(queries, "query_id").select("shard", "block", "query_id", "embedding", "root", F.lit(None).cast("binary").alias("queries"), F.lit(None).cast("binary").alias("entries"))
+    to = to.join(levels.where("not root").select(F.col("id").alias("query_id")), "query_id", "left_semi").unionByName(roots).join(queries, "query_id").select("shard", "block", "query_id", "embedding", "root", F.lit(None).cast("binary").alias("queries"), F.lit(None).cast("binary").alias("entries"))
     pairs = found.select("shard", "block", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast(kind).alias("embedding"), F.lit(None).cast("boolean").alias("root"), "queries", "entries")
     dealt = entries.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(meeting - 1))).alias("block"), "h1", "embedding", "ids")
     scored = dealt.groupBy("shard", "block").cogroup(to.unionByName(pairs).groupBy("shard", "block")).applyInPandas(_scored(k), "query_id long, vec_id long, score double, seen long")
