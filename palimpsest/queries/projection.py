@@ -106,3 +106,13 @@ def property_conflicts(spark, sf_dir):
     """Properties of which two sources say different things, with all that is said."""
     last = m.assertions(spark, sf_dir).groupBy("entity", F.concat(F.lit("k"), F.col("k") % 6).alias("name"), "source").agg(F.max_by((F.col("k") % 4).cast("string"), "event_id").alias("v"))
     return last.groupBy("entity", "name").agg(F.array_sort(F.collect_set("v")).alias("s")).where(F.size("s") >= 2).select("entity", "name", F.array_join("s", ",").alias("said"))
+
+
+@query()
+def project_fold_retractions(spark, sf_dir):
+    """Upserts and retractions of every entity through the ordered fold, in the order in which they arrived."""
+    a = m.assertions(spark, sf_dir)
+    columns = [m.micros("valid_from").alias("t"), m.micros("observed_from").alias("observed"), F.col("event_id").alias("seq")]
+    ups = a.select("entity", F.lit("upsert").alias("kind"), "source", "state", *columns)
+    cuts = a.where("k % 50 = 0").select("entity", F.lit("retract").alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("state"), *columns[:2], (F.col("event_id") + 0.5).alias("seq"))
+    return op.project(ups.withColumn("seq", F.col("seq").cast("double")).unionByName(cuts))

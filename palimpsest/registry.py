@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("temporal", "log", "relational", "graph", "projection", "writes", "resolution", "rules", "telemetry", "text", "scalars", "knowledge", "attribution", "ledger", "evaluation", "connectors", "streams")
+MODULES = ("temporal", "log", "relational", "graph", "reads", "projection", "writes", "resolution", "rules", "telemetry", "text", "scalars", "knowledge", "attribution", "ledger", "evaluation", "connectors", "streams")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 

@@ -157,3 +157,25 @@ def test_terms():
     for bad in (algebra.Term("nothing"), algebra.Term("subgraph", {"focus": "u8"}), algebra.Term("subgraph", {"focus": "u", "valid_at": "t", "hops": 9}), algebra.Term("onset", {"focus": "u", "window": [2, 1]})):
         with pytest.raises(algebra.InvalidTerm):
             algebra.validate(algebra.normalise(bad))
+
+
+@given(st.lists(st.tuples(st.booleans(), st.sampled_from("AB"), st.sampled_from("xyz"), st.integers(1, 40)), min_size=1, max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_fold_is_the_closed_form_in_order(events):
+    """With events in valid-time order the fold's segments say, at every instant, what the closed form says."""
+    import pandas as pd
+
+    from palimpsest.operators import projection
+
+    events = sorted(events, key=lambda e: e[3])
+    rows = pd.DataFrame([("e", "retract" if cut else "upsert", None if cut else source, None if cut else state, t) for cut, source, state, t in events], columns=["entity", "kind", "source", "state", "t"])
+    segments = projection.fold(rows)
+    for at in range(0, 42):
+        got = {(s, x) for _, s, x, f, t in segments.itertuples(index=False) if f <= at and (pd.isna(t) or at < t)}
+        last = {}
+        for i, (cut, source, state, t) in enumerate(events):
+            if not cut and t <= at:
+                last[source] = (t, i, state)
+        # A retraction at t cuts what was asserted before it, in time and in arrival.
+        want = {(s, x) for s, (t, i, x) in last.items() if not any(cut and t < end <= at for cut, _, _, end in events)}
+        assert got == want
