@@ -58,8 +58,11 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Size: words of the text, 0 for null. The rate of a source is target / size; a document is taken floor(rate) times
     and once more with the fraction as probability, by a hash of its doc_id, so reruns agree and rows that share a
-    doc_id are drawn alike. A source without words gets no copies. An empty table gives no rows.
+    doc_id are drawn alike, as are all without one. A source without words gets no copies. An empty table gives no rows.
+    docs may not have columns of the names that are added.
     """
+    if clash := {"size", "source_size", "target", "copies"} & set(docs.columns):
+        raise ValueError(f"docs has {', '.join(sorted(clash))} already")
     sized = docs.withColumn("size", word_count(F.col("text")))
     sources = targets(source_sizes(sized.select("source", "size"))).select(F.col("source").alias("_source"), "source_size", "target")
     if sources.count() <= BROADCAST_SOURCES:

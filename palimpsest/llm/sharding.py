@@ -88,13 +88,14 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row a document.
 
     docs: doc_id and text among any other columns. Size is the text's UTF-8 bytes plus 16; a null text counts as an
-    empty one and joins its group. Repeated rows are one group and each keeps a slot. An empty table gives no rows.
+    empty one and joins its group. Repeated rows are one group and each keeps a slot; rows without a doc_id take part
+    like others. An empty table gives no rows.
     The law is `bytes`: shard sizes near equal, groups whole; grown_shard is null.
     """
     spark, raw = docs.sparkSession, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     meta = docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(raw) + F.lit(16)).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("digest"),
+        F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("digest"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))), F.monotonically_increasing_id()).alias("spread"),
     )
     meta = durable(meta, "shard-rows")
     groups = meta.groupBy("digest").agg(F.sum("size").alias("size"))
@@ -110,6 +111,6 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     of_slot = spark.createDataFrame(final, "part int, slot int, shard int")
     of_label = tasks.join(F.broadcast(of_slot), ["part", "slot"]).select("part", "block", "label", "shard")
     of_group = local.join(of_label, ["part", "block", "label"]).select("digest", "shard")
-    placed = meta.join(of_group, "digest").drop("digest").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(partitions(spark))).cast("int"))
+    placed = meta.join(of_group, "digest").withColumn("_part", F.pmod("spread", F.lit(partitions(spark))).cast("int")).drop("digest", "spread")
     slots = numbered(placed, "shard", "_part", ["doc_id", "text_crc32"], "slot", "shard-slots")
     return slots.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

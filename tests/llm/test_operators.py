@@ -298,6 +298,12 @@ def test_sharding(docs, rows, empty):
         slots[r["shard"]].append(r["slot"])
     assert all(len(s) == 1 for s in of_text.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    of_group, of_shard = Counter(), Counter()
+    for r in got:
+        of_shard[r["shard"]] += r["size"]
+        of_group[r["text_crc32"]] += r["size"]
+    # No shard is above an even share by more than the largest group that can't be divided.
+    assert max(of_shard.values()) <= sum(of_shard.values()) / 7 + max(of_group.values())
     assert shard(empty, 7).count() == 0
     rng = np.random.default_rng(2)
     sums = np.zeros((400, 8), dtype=np.int64)
@@ -327,6 +333,12 @@ def test_mixing(docs, rows, empty):
         target |= {s: 2.0 * sums[s] for s in over}
         left, free = left - sum(target[s] for s in over), free - over
     target |= {s: level * weight[s] for s in free}
+    by_source, largest = Counter(), Counter()
+    for doc, n, _, _, taken in got:
+        by_source[source[doc]] += taken
+        largest[source[doc]] = max(largest[source[doc]], n)
+    spread = {s: 4 * sum((n / 2) ** 2 for doc, n, *_ in got if source[doc] == s) ** 0.5 for s in names}  # four standard deviations of the draw
+    assert all(abs(by_source[s] - target[s]) <= spread[s] + 1e-6 for s in names)
     for doc, n, of_source, wanted, taken in got:
         assert (n, of_source) == (size[doc], sums[source[doc]])
         assert wanted == pytest.approx(target[source[doc]])
@@ -548,3 +560,29 @@ def test_cumulative_links_share_weights():
     weight = dict(zip(model.bucket.tolist(), model.weight.tolist(), strict=True))
     expected = [model.above(np.array([sum(weight.get(b, 0) for b in own)])).sum() for own in ([3], [1, 3], [1, 2, 3])]
     assert expected[0] < 0.5 < expected[1] < 1.5 < expected[2]
+
+
+def test_rows_without_ids_and_long_texts(spark):
+    """Every operator takes rows without doc_id, null and empty texts, one text of 20,000 words, and columns that clash with its own."""
+    from palimpsest.llm import fingerprints, jaccard, licenses, line_dedup, mixing, packing, sharding, token_files, toxicity
+
+    rng = np.random.default_rng(2)
+    long = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(20_000))
+    rows = [(None, "a text without an id of its own", "s"), (None, "a text without an id of its own", None), (None, None, None), (1, long, "s"), (2, long + " end", "t"), (3, "", "t"), (None, "other", "u"), (4, "a text without an id of its own", "u")]
+    df = spark.createDataFrame([(*r, 0, "x", 1, 2) for r in rows], "doc_id long, text string, source string, n_chars long, target string, start long, rank int").repartition(3)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    assert token_files.token_files(df, BYTES, 2).count() == len(rows)
+    assert fingerprints.compare_with_edits(df).count() == len(rows)
+    packed = packing.pack(df, WORDS, 1).collect()
+    assert sum(r["length"] for r in packed) == sum(len(ids(WORDS, t, 1)) for _, t, _ in rows)
+    found = jaccard.near_duplicates(df).collect()
+    assert len(found) == len(rows) and {r["component_id"] for r in found if r["doc_id"] in (1, 2)} == {1}
+    assert sorted(r["component_id"] for r in found if r["doc_id"] is None and r["component_id"] is not None) == [4, 4]
+    assert jaccard.one_of_each(df).count() == len(rows) - 1
+    shards = sharding.shard(df, 3).collect()
+    assert len(shards) == len(rows) and len({r["shard"] for r in shards if r["size"] == 31 + 16}) == 1
+    assert licenses.scan(df).count() == len(rows) and line_dedup.dedup_lines(df).count() == len(rows)
+    assert mixing.mixed_sizes(df).count() == len(rows) and mixing.mixed_documents(df).columns == df.columns
+    assert toxicity.toxic_scores(df, labels).count() == len(rows) and toxicity.clean_documents(df, labels).columns == df.columns
+    with pytest.raises(ValueError):
+        mixing.mix(df)
