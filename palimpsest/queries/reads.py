@@ -19,7 +19,7 @@ def focus_resolution(spark, sf_dir):
 
 
 @query(f"WITH {m.V}, l AS (SELECT DISTINCT entity FROM v WHERE valid_from <= TIMESTAMP '2024-01-01 06:00:00' AND (valid_to IS NULL OR TIMESTAMP '2024-01-01 06:00:00' < valid_to)), x AS (SELECT min(observed_from) AS f FROM a) SELECT DISTINCT a.entity, CASE WHEN l.entity IS NULL THEN CASE WHEN TIMESTAMP '2024-01-01 06:00:00' < f + INTERVAL 12 HOUR THEN 'before_recorded_history' ELSE 'unknown' END END AS reason FROM a CROSS JOIN x LEFT JOIN l ON l.entity = a.entity")
-def before_history_guard(spark, sf_dir):
+def history_guard(spark, sf_dir):
     """Entities that the log was not yet watching."""
     from palimpsest.operators import temporal
 
