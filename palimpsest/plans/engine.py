@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,6 +207,6 @@ class Engine:
         try:
             made = getattr(self, "changes" if term.name == "diff" else term.name)(**{names.get(k, k): v for k, v in own.items()})
             empty = made.isEmpty()
-        except (PySparkException, TypeError) as error:
+        except (PySparkException, Py4JError, TypeError) as error:
             return Answer("QUERY_FAILED", None, key, covered, str(error))
         return Answer("NO_DATA" if empty and outcome == "OK" else outcome, made, key, covered, reason)

@@ -81,7 +81,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("user_id")
     return own.select(
         "entity", F.lit("host").alias("namespace"), F.concat(F.lit("h"), i % 39).alias("value"), F.concat(F.lit("src"), i % 2).alias("source"),
-        F.when(i % 3 == 0, "prod").when(i % 3 == 1, "dev").otherwise("").alias("environment"), F.concat(F.lit("svc"), i % 30).alias("name"), F.concat(F.lit("n"), i % 7).alias("owner"),
+        F.when(i % 3 == 0, "prod").when(i % 3 == 1, "dev").otherwise("").alias("environment"), F.concat(F.lit("svc"), i % 7).alias("name"), F.concat(F.lit("n"), i % 5).alias("owner"),
     )
 
 
