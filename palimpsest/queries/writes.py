@@ -135,13 +135,20 @@ def file_suggestions(spark, sf_dir):
     return op.filed_suggestions(found, decided, canonical)
 
 
-@query()
+_MOVES = """WITH RECURSIVE e AS (SELECT 'c' || (o_custkey % 60) || '|d' || (o_orderkey % 5) || '|depends_on' AS proposal, o_orderkey AS seq, CASE WHEN o_orderkey % 4 < 2 THEN 'propose' WHEN o_orderkey % 4 = 2 THEN 'confirm' ELSE 'reject' END AS kind, 0.1 * (o_orderkey % 7) AS score FROM orders),
+ o AS (SELECT *, row_number() OVER (PARTITION BY proposal ORDER BY seq, kind) AS i FROM e), f AS (SELECT proposal, 0::BIGINT AS i, NULL::VARCHAR AS status, NULL::DOUBLE AS score, 0 AS n FROM o WHERE i = 1
+ UNION ALL SELECT o.proposal, o.i, CASE WHEN o.kind = 'propose' THEN CASE WHEN f.status IS NULL THEN 'pending' WHEN f.status = 'rejected' THEN 'conflict' ELSE f.status END WHEN f.status IS NULL THEN NULL WHEN o.kind = 'confirm' THEN 'confirmed' ELSE 'rejected' END,
+ CASE WHEN o.kind = 'propose' AND (f.status IS NULL OR f.status = 'pending') THEN o.score ELSE f.score END, f.n + CASE WHEN f.status IS NOT NULL OR o.kind = 'propose' THEN 1 ELSE 0 END FROM f JOIN o ON o.proposal = f.proposal AND o.i = f.i + 1)
+ SELECT proposal, status, 'P4' AS rule, round(score, 6)::DOUBLE AS score, n AS n_events FROM f x WHERE i = (SELECT max(i) FROM o WHERE o.proposal = x.proposal) AND status IS NOT NULL"""
+
+
+@query(_MOVES)
 def dependency_proposals(spark, sf_dir):
     """Proposals, confirmations and rejections of directed dependencies, folded in order."""
     k = F.col("o_orderkey")
     kind = F.when(k % 4 < 2, "propose").when(k % 4 == 2, "confirm").otherwise("reject")
     events = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey") % 60).alias("src"), F.concat(F.lit("d"), k % 5).alias("dst"), F.lit("depends_on").alias("type"), k.alias("seq"), kind.alias("kind"), F.lit("P4").alias("rule"), (0.1 * (k % 7)).alias("score"))
-    return op.dependency_proposals(events)
+    return op.dependency_proposals(events).withColumn("score", F.round("score", 6))
 
 
 @query(
