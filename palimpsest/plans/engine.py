@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import TERMS as CHAT
 from palimpsest.functions.text import masked, matched, tokens
-from palimpsest.operators import graph, knowledge, resolution, telemetry, temporal
+from palimpsest.operators import graph, knowledge, reads, resolution, telemetry, temporal
 from palimpsest.operators.components import components
 from palimpsest.plans import algebra
 from palimpsest.sources import log as event_log
@@ -80,6 +80,23 @@ class Engine:
             "targets": graph.change_targets(ranked.withColumn("focus", F.lit(focus)), self._nodes(start), self._nodes(end), content),
         }
 
+    def truncation(self, focus: str, valid_at: str, hops: int = graph.HOPS, direction: str = "both") -> DataFrame:
+        """Why a subgraph is cut; no row if it isn't."""
+        return graph.truncation(self._edges(valid_at), self._focus(focus), hops, direction)
+
+    def shortest_route(self, focus: str, valid_at: str, hops: int = 3) -> DataFrame:
+        return graph.shortest_route(self._edges(valid_at), self._focus(focus), hops)
+
+    def suggestions(self, focus: str | None = None, after: tuple[float, str] | None = None, size: int = 20) -> DataFrame:
+        """A page of the pairs that rules find, by score and pair."""
+        found = resolution.suggestions(m.claims(self.spark, self.folder)).withColumn("pair", F.concat_ws("|", "a", "b"))
+        return reads.review_page(found, "pair", ["a", "b"], None, focus, after, size)
+
+    def invariants(self) -> DataFrame:
+        """Edges that begin before an earlier one of the same ends and type is over; none in a sound graph of one source."""
+        rows = m.edges(self.spark, self.folder).withColumn("key", F.concat_ws("|", "src", "dst", "type", F.col("observed_from").cast("string")))
+        return temporal.overlapping(rows, "key", ["valid_from", "edge_id"])
+
     def pointers(self, focus: str, valid_at: str) -> DataFrame:
         """kind, selector of where an entity's telemetry is, at an instant."""
         kind = F.when(F.col("k") % 3 == 0, "logs").when(F.col("k") % 3 == 1, "metrics").otherwise("traces")

@@ -69,3 +69,14 @@ def test_failed_and_invalid(engine):
 def test_diff_parts(engine):
     parts = engine.diff("u8", "2024-01-10 00:00:00", "2024-01-12 00:00:00")
     assert set(parts) == {"nodes", "edges", "changes", "targets"} and all(p.count() >= 0 for p in parts.values())
+
+
+def test_other_reads(engine):
+    at = "2024-01-10 00:00:00"
+    assert engine.truncation("u8", at, 1).count() in (0, 1) and engine.shortest_route("u8", at, 2).count() > 0
+    page = engine.suggestions(size=5).collect()
+    assert page == sorted(page, key=lambda r: (-r["score"], r["pair"])) and len(page) <= 5
+    rest = engine.suggestions(after=(page[-1]["score"], page[-1]["pair"]), size=5).collect()
+    assert not {r["pair"] for r in rest} & {r["pair"] for r in page}
+    assert all("u8" in (r["a"], r["b"]) for r in engine.suggestions("u8").collect())
+    assert engine.invariants().columns
