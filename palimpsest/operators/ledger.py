@@ -186,13 +186,23 @@ def admitted(calls: DataFrame, group: str, order: str, cap: float, reserve: floa
     return told.select(group, F.col("r.o").alias(order), F.col("r.ok").alias("admitted"), "r.spent")
 
 
-def gap_overlap(windows: DataFrame, gaps: DataFrame, horizon: Column, seconds: int = 3600) -> DataFrame:
-    """windows with `in_gap`: some gap (source, gap_from, gap_to) of their source overlaps them."""
-    from palimpsest.operators.temporal import interval_join
+def gap_overlap(windows: DataFrame, gaps: DataFrame, seconds: int = 3600) -> DataFrame:
+    """windows with `in_gap`: some gap (source, gap_from, gap_to) of their source overlaps them; null ends are open.
 
-    dealt = gaps.select("source", F.col("gap_from").alias("valid_from"), F.col("gap_to").alias("valid_to"))
-    inside = interval_join(windows.select("window", "source", "valid_from", "valid_to"), dealt, ["source"], seconds, horizon).select("window").distinct()
-    return windows.join(inside.withColumn("in_gap", F.lit(True)), "window", "left").withColumn("in_gap", F.coalesce("in_gap", F.lit(False)))
+    A gap does if the latest end of those that begin before a window's end is after its start. So windows, by their
+    ends, and gaps, by their starts, are dealt to buckets of `seconds`: a running maximum inside a bucket and one over the
+    buckets before it, a row each, tell it, and no window meets a gap.
+    """
+    open_ = F.lit((1 << 63) - 1)
+    end = lambda c: F.coalesce(F.unix_micros(c), open_)
+    own = windows.select("source", end("valid_to").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_end"), F.struct(*windows.columns).alias("_w"))
+    dealt = gaps.where("gap_from IS NOT NULL AND source IS NOT NULL").select("source", F.unix_micros("gap_from").alias("_t"), F.lit(1).alias("_side"), end("gap_to").alias("_end"), F.lit(None).cast(own.schema["_w"].dataType).alias("_w"))
+    rows = own.unionByName(dealt).withColumn("_b", F.floor(F.col("_t") / (seconds * 1_000_000)))
+    earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy("source", "_b").agg(F.max("_end").alias("_end")).select("source", "_b", F.max("_end").over(earlier).alias("_before"))
+    inside = Window.partitionBy("source", "_b").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)  # a gap that begins at a window's end comes after it
+    told = rows.withColumn("_in", F.max("_end").over(inside)).where("_side = 0").join(buckets, ["source", "_b"], "left")
+    return told.select("_w.*", F.coalesce(F.greatest("_in", "_before") > F.unix_micros("_w.valid_from"), F.lit(False)).alias("in_gap"))
 
 
 def neighbouring_incidents(alerts: DataFrame, edges: DataFrame, minutes: int = 10) -> DataFrame:

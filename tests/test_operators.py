@@ -179,3 +179,26 @@ def test_fold_is_the_closed_form_in_order(events):
         # A retraction at t cuts what was asserted before it, in time and in arrival.
         want = {(s, x) for s, (t, i, x) in last.items() if not any(cut and t < end <= at for cut, _, _, end in events)}
         assert got == want
+
+
+def test_gap_overlap_meets_no_gap_and_is_exact(spark):
+    """Dense gaps of one source, open ends, null and unknown sources, touching ends; the plan joins buckets only."""
+    import random
+    from datetime import datetime, timedelta
+
+    from palimpsest.operators.ledger import gap_overlap
+
+    rng, base = random.Random(5), datetime(2024, 1, 1)
+
+    def some(n, longest):
+        for i in range(n):
+            start = base + timedelta(minutes=30 * rng.randrange(200))
+            yield i, rng.choice(["s0", "s1", "s2", None]), start, None if i % 17 == 0 else start + timedelta(minutes=30 * rng.randrange(1, longest))
+
+    gaps = [(s, f, t) for i, s, f, t in some(60, 6) if s != "s2" and not (s == "s1" and t is None)]
+    windows = [*some(400, 9), (400, "s0", datetime(2031, 1, 1), datetime(2031, 1, 2)), (401, "s1", datetime(2031, 1, 1), None)]
+    later = lambda a, b: b is None or a < b
+    want = {i: any(g == s and later(f, gt) and later(gf, t) for g, gf, gt in gaps if g is not None) for i, s, f, t in windows}
+    got = gap_overlap(spark.createDataFrame(windows, "window long, source string, valid_from timestamp, valid_to timestamp"), spark.createDataFrame(gaps, "source string, gap_from timestamp, gap_to timestamp"))
+    assert {r["window"]: r["in_gap"] for r in got.collect()} == want and len(set(want.values())) == 2
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
