@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+from palimpsest.llm.remembered import begins
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters, then ASCII marks: one pretoken each in either vocabulary.
 PLAIN = re.compile(f"([{LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
@@ -100,6 +102,7 @@ _encoders: dict[tuple, Encoder] = {}
 
 def encoder(path: str, lower: bool, end: int) -> Encoder:
     """One encoder for each vocabulary in a Python worker."""
+    begins("encoding", _encoders.clear)
     key = (path, lower, end)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)

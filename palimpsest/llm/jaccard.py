@@ -150,15 +150,23 @@ def _fresh(seen: set, h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> list[int
     return out
 
 
+def repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that an array has several times, ascending, and how many times. Sorts the array, which may be a task's largest, in place."""
+    keys.sort()
+    same = np.zeros(len(keys) + 1, dtype=bool)  # as the key before
+    same[1:-1] = keys[1:] == keys[:-1]
+    first, last = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+    return keys[first], last - first + 1
+
+
 def _counted(words: int, percent: int):
     """doc_id, n, h1, h2 of every text; on a block's last row the keys that several of its sets have, and how many."""
 
     def run(batches):
-        seen, keys, parts, held = set(), [np.empty(0, dtype=np.uint64)], [], 0
+        seen, keys, parts, held = set(), np.empty(COUNTED, dtype=np.uint64), [], 0
 
         def block():
-            key, count = np.unique(np.concatenate(keys), return_counts=True)
-            key, count = key[count > 1], count[count > 1]
+            key, count = repeats(keys[:held])
             for j, (ids, n, h1, h2) in enumerate(parts):
                 ends = np.zeros(len(n) + 1, dtype=np.int32)
                 last = j == len(parts) - 1
@@ -170,12 +178,16 @@ def _counted(words: int, percent: int):
             for i in _fresh(seen, h1, h2, n):
                 own = hashes[bounds[i] : bounds[i + 1]]
                 for band in bands(len(own), percent) if differing(len(own), percent) else []:
-                    keys.append(chunk_keys(own, band, percent)[0])
-                    held += len(keys[-1])
-            parts.append((ids, n, h1, h2))
+                    more = chunk_keys(own, band, percent)[0]
+                    if held + len(more) > len(keys):
+                        keys = np.concatenate([keys[:held], np.empty(len(more) + COUNTED // 8, dtype=np.uint64)])
+                    keys[held : held + len(more)] = more
+                    held += len(more)
+            # A slice of a column would keep the texts of its batch.
+            parts.append((ids.take(pa.array(np.arange(len(ids)))), n, h1, h2))
             if held >= COUNTED:
                 yield from block()
-                seen, keys, parts, held = set(), keys[:1], [], 0
+                seen, parts, held = set(), [], 0
         if parts:
             yield from block()
 

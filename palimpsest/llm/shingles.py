@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from palimpsest.llm.remembered import begins
+
 _rng = np.random.default_rng(20240229)
 _OF_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -29,6 +31,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _no_powers() -> None:
+    _powers[:] = [x[:1].copy() for x in _powers]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
@@ -40,6 +46,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lowered, and the index of each one's text. Nulls have none."""
+    begins("shingles", _no_powers)
     texts = texts.cast(pa.large_binary())
     bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     lo, hi = int(bounds[0]), int(bounds[-1])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import durable, packed, unpacked
+from palimpsest.llm.remembered import begins
 
 #: At most so many labelled documents are fitted on: those with the smallest hashes of doc_id, half of them toxic if there are.
 SAMPLE = 8_000
@@ -85,6 +86,7 @@ def buckets(text: str | None) -> set[int]:
 
 
 def _features(batches):
+    begins("toxicity", _by_word.clear)
     for b in batches:
         yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "features": [sorted(buckets(t)) for t in b["text"]]})
 
@@ -188,6 +190,7 @@ def score(rows: DataFrame, model: Model, keep: list[str], clean_only: bool = Fal
     """
 
     def run(batches):
+        begins("toxicity", _by_word.clear)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)

@@ -65,6 +65,38 @@ def test_encoder_is_the_library(text):
         assert np.frombuffer(Encoder(path, lower, end)(text), dtype="<u4").tolist() == ids(path, text, end)
 
 
+def test_a_worker_forgets_what_other_operators_remember():
+    import pyarrow as pa
+
+    from palimpsest.llm import encoding, shingles, toxicity
+
+    encoding.encoder(BYTES, False, 2)
+    again = encoding.encoder(BYTES, False, 2)
+    assert encoding.encoder(BYTES, False, 2) is again
+    assert [len(shingles.shingle_sets(pa.array(["a b c d e f"]), 5)[0]), len(encoding._encoders)] == [2, 0]
+    [_ for _ in toxicity._features([{"doc_id": [1], "grade": [0], "text": ["some words"]}])]
+    assert toxicity._by_word and len(shingles._powers[0]) == 1
+    assert len(shingles.shingle_sets(pa.array(["a b c d e f"]), 5)[0]) == 2 and not toxicity._by_word
+
+
+def test_keys_are_counted_in_place():
+    import tracemalloc
+
+    from palimpsest.llm.jaccard import repeats
+
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 1), (1, 1), (2, 1), (1000, 300), (1000, 10**9)):
+        keys = rng.integers(0, top, n).astype(np.uint64)
+        want, times = np.unique(keys, return_counts=True)
+        found, often = repeats(keys.copy())
+        assert found.tolist() == want[times > 1].tolist() and often.tolist() == times[times > 1].tolist()
+    keys = rng.integers(0, 1 << 62, 1_000_000).astype(np.uint64)
+    tracemalloc.start()
+    repeats(keys)
+    assert tracemalloc.get_traced_memory()[1] < keys.nbytes
+    tracemalloc.stop()
+
+
 def shingles(text):
     w = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({ord(c): " " for c in "\t\n\x0b\x0c\r"}).split(" ") if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
