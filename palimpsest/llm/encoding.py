@@ -15,14 +15,17 @@ from array import array
 from palimpsest.llm.remembered import begins
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+ASCII_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 #: Letters, then ASCII marks: one pretoken each in either vocabulary.
 PLAIN = re.compile(f"([{LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
-#: White space beside a space: such a text isn't cut at that space.
-WIDE = re.compile(r"\s | \s")
 NARROW = re.compile(r"(?<=\S) (?=\S)")
 #: Line ends beside other white space.
 LINE_ENDS = re.compile(r"\n.*\n|\s\n|\n\s|[^\S\n]")
 KEPT, LONGEST = 600_000, 48
+#: A piece that is more than letters is kept when its hash comes the second time, among so many.
+SECOND = 1 << 21
+#: All white space but blanks and line ends.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def byte_marks() -> dict[int, str]:
@@ -35,17 +38,29 @@ def byte_marks() -> dict[int, str]:
 MARKS = byte_marks()
 
 
+def wide(text: str) -> bool:
+    """White space may stand beside a space: such a text isn't cut at that space."""
+    return "  " in text or " \n" in text or "\n " in text or any(map(text.__contains__, OTHER_SPACE))
+
+
 class _Memory(dict):
-    """Piece to its ids as little-endian 32-bit integers. Once KEPT pieces are in, others are encoded each time."""
+    """Piece to its ids as little-endian 32-bit integers. Once KEPT pieces are in, others are encoded each time.
+
+    Words are kept at once. Words with marks or line ends are made of pieces that are kept, and most never come again.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.seen = encode, bytearray(SECOND)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)
         if len(piece) <= LONGEST and len(self) < KEPT:
-            self[piece] = ids
+            at = hash(piece) % SECOND
+            if self.seen[at] or piece.isalpha():
+                self[piece] = ids
+            else:
+                self.seen[at] = 1
         return ids
 
 
@@ -70,17 +85,26 @@ class Encoder:
         """Ids of one pretoken, by the library's model."""
         if not pretoken.isascii():
             pretoken = pretoken.encode().decode("latin-1")
-        return array("I", [t.id for t in self.model.tokenize(pretoken.translate(MARKS))]).tobytes()
+        return self._tokens(pretoken.translate(MARKS))
+
+    def _tokens(self, written: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _ids(self, before: str, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha() and (piece.islower() or not self.lower):
+            return self._tokens(MARKS[32] + piece if before else piece)  # letters stand for themselves
+        known = self.rest if before else self.first
+        word = piece.rstrip(ASCII_MARKS)
+        if len(word) < len(piece) and word.isascii() and word.isalpha():
+            return known[word] + self.marks[piece[len(word) :]]
         left, line, right = piece.partition("\n")
         if line and left and right and not LINE_ENDS.search(piece):  # the line end is a pretoken by itself
-            return (self.rest if before else self.first)[left] + self.marks[line] + self.first[right]
+            return known[left] + self.marks[line] + self.first[right]
         if not (m := PLAIN.fullmatch(piece)):
             return array("I", self.whole.encode(before + piece, add_special_tokens=False).ids).tobytes()
         word, marks = m.groups()
         if marks:
-            return (self.rest if before else self.first)[word] + self.marks[marks]
+            return known[word] + self.marks[marks]
         if self.lower and not word.islower():
             return self.first[word.lower()]
         return self._merged(before + word)
@@ -92,7 +116,7 @@ class Encoder:
         if self.lower:
             pieces = text.replace("\n", " ").split(" ")
             return b"".join([*map(self.rest.__getitem__, filter(None, pieces)), self.end])
-        pieces = NARROW.split(text) if WIDE.search(text) else text.split(" ")
+        pieces = NARROW.split(text) if wide(text) else text.split(" ")
         head = self.first[pieces[0]] if pieces[0] else b""
         return b"".join([head, *map(self.rest.__getitem__, pieces[1:]), self.end])
 

@@ -65,6 +65,20 @@ def test_encoder_is_the_library(text):
         assert np.frombuffer(Encoder(path, lower, end)(text), dtype="<u4").tolist() == ids(path, text, end)
 
 
+def test_encoder_keeps_words_before_what_is_made_of_them():
+    from palimpsest.llm.encoding import Encoder
+
+    own = Encoder(BYTES, False, 2)
+    texts = ["x qzword, qzother.\nqznext qzword, ünd,", "x qzword,"]
+    got = [np.frombuffer(own(t), dtype="<u4").tolist() for t in texts]
+    assert got == [ids(BYTES, t, 2) for t in texts]
+    assert "qzword" in own.rest and "qzother" in own.rest and "qzword," in own.rest  # the last came again
+    assert "qzother.\nqznext" not in own.rest and "ünd," not in own.rest
+    lower = Encoder(WORDS, True, 1)
+    for text in ("QZWORD Qzword, QZ,qz", "QZ", "a_ B_ _"):
+        assert np.frombuffer(lower(text), dtype="<u4").tolist() == ids(WORDS, text, 1)
+
+
 def test_a_worker_forgets_what_other_operators_remember():
     import pyarrow as pa
 
