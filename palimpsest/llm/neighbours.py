@@ -3,8 +3,8 @@
 A rotation gives a vector a symbol: the axis and sign nearest to the rotated vector. In each tree a vector has a long
 string of such symbols, of rotations in the tree's own order, and the tree is the sorted array of all strings, so the
 vectors that share a prefix are a range of it. A query descends to its longest match in every tree and then ascends in
-all of them at once, a symbol at a time, until its ranges hold enough vectors; in the last step the trees where its
-first symbol is surest ascend first. The vectors of those ranges are scored exactly. A query whose first symbols
+all of them at once, a symbol at a time, until its ranges hold enough vectors, near copies aside; in the last step the
+trees where its first symbol is surest ascend first. The vectors of those ranges are scored exactly. A query whose first symbols
 alone don't give enough ends at the root, which is every vector.
 
 Each tree is dealt by its first symbols to ranges of about RANGE vectors (a first symbol with more goes in parts), and
@@ -29,7 +29,7 @@ from palimpsest.llm.common import durable
 TREES, SYMBOLS = 384, 8
 #: A symbol is one of the first so many axes of a rotation, or its opposite.
 AXES = 64
-#: A search of n vectors ascends until its ranges hold BREADTH * n ** POWER vectors, LEAST at least, repeats counted.
+#: A search of n vectors ascends until its ranges hold BREADTH * n ** POWER vectors, LEAST at least, repeats counted but those of near copies.
 BREADTH, POWER, LEAST = 8, 0.6, 1_000
 #: Entries in a range of a tree, in a shard for scoring; queries that ascend together, and that meet a shard together.
 RANGE, SHARD, BLOCK, ASKING = 1 << 18, 8_192, 2_048, 16_384
@@ -81,6 +81,10 @@ class Layout:
                 parts[t, symbol] = max(1, -(-n // RANGE))
         return cls(axes, ranges, parts)
 
+    def chance(self, n: int) -> int:
+        """The most symbols that some of n vectors are likely to share by chance: one more would make many more strings than vectors."""
+        return next((s for s in range(1, self.length - 1) if self.base ** (s + 1) >= 16 * n), self.length - 1)
+
     def strings(self, codes: np.ndarray, tree: int) -> np.ndarray:
         """codes: rotations x vectors."""
         out = np.zeros(codes.shape[1], dtype=np.int64)
@@ -207,7 +211,7 @@ def _tree(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """The sorted array of a range, its entries, the strings that ask and their ids, and their rows."""
     has, asks = rows[~rows["asks"]], rows[rows["asks"]]
     strings, ids = _numbers(has["strings"]), _numbers(has["ids"])
-    order = np.argsort(strings, kind="stable")
+    order = np.argsort(strings)  # a range has all of equal strings or none
     return strings[order], ids[order], _numbers(asks["strings"]), _numbers(asks["ids"]), asks
 
 
@@ -243,8 +247,12 @@ def _placed(blocks: int):
     return run
 
 
-def _levels(length: int, enough: int):
-    """How many symbols of each tree's string a query keeps when all trees ascend until their ranges hold enough; 0 in all of them is the root."""
+def _levels(length: int, enough: int, chance: int, k: int):
+    """How many symbols of each tree's string a query keeps when all trees ascend until their ranges hold enough; 0 in all of them is the root.
+
+    What shares more than `chance` symbols with a query are itself and its near copies, found again in tree after tree:
+    they don't count. Each entry is in a tree once, so k others are sure when a range holds more than k.
+    """
 
     def run(queries: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(queries["id"].to_numpy())
@@ -254,8 +262,11 @@ def _levels(length: int, enough: int):
         out = []
         for q, sure, codes in zip(queries["id"], queries["sure"], queries["codes"], strict=True):
             own, first = counts[np.searchsorted(ids, q)], np.frombuffer(sure, dtype="<u2")
-            more = (own[:, :-1] - own[:, 1:])[first][:, ::-1].T.ravel()  # from the longest prefix to the first symbol, surest trees first
-            at = int(np.searchsorted(np.cumsum(more), enough))
+            held = own[:, :-1][first][:, ::-1].T.ravel()  # from the longest prefix to the first symbol, surest trees first
+            more = (own[:, :-1] - own[:, 1:])[first][:, ::-1].T.ravel()
+            more[: (length - chance) * TREES] = 0
+            at = int(np.searchsorted(np.cumsum(more), enough - TREES))  # less the query itself
+            at = max(at, int(np.argmax(held > k)) if (held > k).any() else len(more))
             keep = np.zeros(TREES, dtype=np.uint8)
             if at < len(more):
                 level, last = length - at // TREES, at % TREES
@@ -280,7 +291,7 @@ def _found(layout: Layout, shards: int, blocks: int):
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
         entry, query = ids[at], np.repeat(who, n)
         place = np.mod(entry, shards).astype(np.uint64) * np.uint64(blocks) + _block(query, blocks)
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place.astype(np.uint16) if shards * blocks <= 1 << 16 else place, kind="stable")  # counted, where numbers are small
         place, entry, query = place[order], entry[order], query[order]
         edges = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(place) else [0]
         out = [(int(place[i]) // blocks, int(place[i]) % blocks, query[i:j].tobytes(), entry[i:j].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
@@ -289,6 +300,15 @@ def _found(layout: Layout, shards: int, blocks: int):
     return run
 
 
+def _met(query: np.ndarray, entry: np.ndarray, entries: int) -> np.ndarray:
+    """Distinct pairs of a query's and an entry's place as ascending numbers query * entries + entry: one key to sort, not two."""
+    pairs = query * entries + entry
+    pairs.sort()
+    new = np.ones(len(pairs), dtype=bool)
+    np.not_equal(pairs[1:], pairs[:-1], out=new[1:])
+    return pairs[new]
+
+
 def _scored(k: int):
     """The k best of a shard for each query of a block. Rows that ask bring a vector, the others pairs of query and entry; at the root all entries count."""
 
@@ -299,22 +319,21 @@ def _scored(k: int):
             entries = entries.sort_values("h1")
             h1, ids = entries["h1"].to_numpy(), entries["ids"].to_numpy()
             x = np.stack(entries["embedding"].to_numpy()).astype(np.float64)
-            query, entry = _numbers(pairs["queries"]), _numbers(pairs["entries"])
-            order = np.lexsort((entry, query))
-            query, entry = query[order], entry[order]
-            new = np.ones(len(query), dtype=bool)
-            new[1:] = (query[1:] != query[:-1]) | (entry[1:] != entry[:-1])
-            query, entry = query[new], entry[new]
-            first, last = np.searchsorted(h1, entry), np.searchsorted(h1, entry, side="right")
-            twins = bool((last - first > 1).any())  # two vectors with one hash
+            who, room = np.sort(asks["query_id"].to_numpy()), np.empty_like(x)
+            met = _met(np.searchsorted(who, _numbers(pairs["queries"])), np.searchsorted(h1, _numbers(pairs["entries"])), len(x))
+            edges, met = np.searchsorted(met, np.arange(len(who) + 1) * len(x)), met % len(x)
+            twins = bool((h1[1:] == h1[:-1]).any())  # two vectors with one hash
             for own, vector, root in zip(asks["query_id"], asks["embedding"], asks["root"], strict=True):
-                i, j = np.searchsorted(query, own), np.searchsorted(query, own, side="right")
-                if i == j and not root:
+                i = np.searchsorted(who, own)
+                at = met[edges[i] : edges[i + 1]]
+                if not len(at) and not root:
                     continue
-                at = np.arange(len(x)) if root else first[i:j]
-                if twins and not root:
-                    at = np.concatenate([np.arange(a, b) for a, b in zip(first[i:j], last[i:j], strict=True)])
-                score = np.einsum("ij,j->i", x[at], np.asarray(vector, dtype=np.float64))
+                if root:
+                    at = np.arange(len(x))
+                elif twins:
+                    at = np.concatenate([np.arange(a, b) for a, b in zip(at, np.searchsorted(h1, h1[at], side="right"), strict=True)])
+                near = np.take(x, at, axis=0, out=room[: len(at)], mode="clip")  # into memory at hand
+                score = np.einsum("ij,j->i", near, np.asarray(vector, dtype=np.float64))
                 best = np.flatnonzero(score >= np.partition(score, -k - 1)[-k - 1]) if len(score) > k + 1 else np.arange(len(score))
                 found = sorted((-score[b], v) for b in best for v in ids[at[b]] if v != own)[:k]
                 out["query_id"] += [own] * len(found)
@@ -383,7 +402,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     has = coded.mapInArrow(_dealt(layout, False), DEALT)
     asks = asking.select("id", "codes").mapInArrow(_dealt(layout, True), DEALT)
     counted = has.unionByName(asks).groupBy("tree", "range", "part").applyInPandas(_counted(layout, blocks), "block int, tree int, ids binary, counts binary")
-    levels = asking.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(_levels(layout.length, enough), "id long, codes binary, levels binary, root boolean")
+    levels = asking.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(_levels(layout.length, enough, layout.chance(n), k), "id long, codes binary, levels binary, root boolean")
     levels = durable(levels, "ann-levels")
     asks = levels.where("not root").select("id", "codes", "levels").mapInArrow(_dealt(layout, True), DEALT)
     found = has.unionByName(asks).groupBy("tree", "range", "part").applyInPandas(_found(layout, shards, meeting), "shard int, block int, queries binary, entries binary")

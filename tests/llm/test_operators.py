@@ -542,6 +542,51 @@ def test_neighbours_in_pieces(spark, monkeypatch):
     assert sorted(tuple(r)[:4] for r in op.neighbours(df).collect()) == whole
 
 
+def test_neighbours_of_near_copies(spark):
+    """Near copies share long prefixes in all trees; the search goes on past them to all that a query is due, and finds what lies beyond."""
+    from palimpsest.llm.neighbours import neighbours
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 64))
+    for i in range(0, 400, 20):  # 12 each, from alike to hardly different
+        x[i + 1 : i + 13] = x[i] + rng.normal(size=(12, 64)) * (i + 1) / 4000
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for r in neighbours(df).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {q: len(set(own)) for q, own in got.items()} == dict.fromkeys(range(0, 8000, 20), 20)
+    score = x @ x[:400:20].T
+    score[np.arange(0, 400, 20), np.arange(20)] = -np.inf
+    best = np.argsort(-score, axis=0)[:20].T
+    assert np.mean([len({*got[20 * q]} & {*b.tolist()}) / 20 for q, b in enumerate(best)]) >= 0.9
+
+
+@pytest.mark.parametrize("again", [1, 40])
+def test_neighbours_scored(again):
+    """Repeated pairs of query and entry, two vectors with one hash and a query at the root: scores of each pair once, by brute force."""
+    import pandas as pd
+
+    from palimpsest.llm import neighbours as op
+
+    rng = np.random.default_rng(2)
+    x, h1 = rng.normal(size=(60, 8)), np.sort(rng.integers(-(2**62), 2**62, 60))
+    h1[11] = h1[10]
+    entries = pd.DataFrame({"h1": h1, "ids": [[100 + i] for i in range(60)], "embedding": list(x)}).sample(frac=1, random_state=1)
+    asks = {100: [3, 10, 50, 7], 120: list(range(60)), 140: [0, 59]}  # 120 is at the root
+    query = np.repeat([100, 100, 100, 100, 140, 140], again)
+    entry = np.tile(h1[[3, 10, 50, 7, 0, 59]], (again, 1)).T.ravel()
+    mixed = rng.permutation(len(query))
+    rows = [{"query_id": q, "embedding": x[q - 100], "root": q == 120, "queries": None, "entries": None} for q in (140, 100, 120)]
+    rows.append({"query_id": 0, "embedding": None, "root": False, "queries": query[mixed].astype("<i8").tobytes(), "entries": entry[mixed].astype("<i8").tobytes()})
+    got = op._scored(5)(entries, pd.DataFrame(rows))
+    asks[100].append(11)
+    for q, own in asks.items():
+        want = sorted((-float(np.einsum("ij,j->i", x[[e]], x[q - 100])[0]), 100 + e) for e in own if 100 + e != q)[:5]
+        mine = got[got["query_id"] == q]
+        assert list(mine["vec_id"]) == [v for _, v in want] and np.allclose(mine["score"], [-s for s, _ in want], rtol=0, atol=1e-12) and set(mine["seen"]) == {len(own)}
+
+
 def test_toxicity(spark, docs, rows, empty):
     from palimpsest.llm import toxicity as op
 
