@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import durable, packed, partitions, unpacked
 from palimpsest.llm.components import components
+from palimpsest.llm.remembered import giving_back
 from palimpsest.llm.shingles import mixed, shingle_sets
 
 WORDS, PERCENT = 5, 80
@@ -307,7 +308,7 @@ class _Texts:
         ids = durable(self.rows.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "jaccard-ids")
         some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         kind = "hashes binary" if whole else "sketch array<long>"
-        found = self.docs.join(some, self.docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi").mapInArrow(_content(self.words, whole), f"h1 long, h2 long, n long, {kind}")
+        found = self.docs.join(some, self.docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi").mapInArrow(giving_back(_content(self.words, whole)), f"h1 long, h2 long, n long, {kind}")
         return durable(found.join(wanted, "h1", "left_semi").dropDuplicates(["h1", "h2"]), "jaccard-sets")
 
     def links(self, pairs: DataFrame, near: bool) -> DataFrame:
@@ -323,7 +324,7 @@ class _Texts:
             pairs = durable(both.where(distance(F.when(longer, folded(F.col("x"))).otherwise(F.col("x")), F.when(shorter, folded(F.col("y"))).otherwise(F.col("y"))) <= most_apart(F.col("na"), F.col("nb"), self.percent)).select("a", "b").distinct(), "jaccard-near")
             wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
         x, y = self._ends(self.of(wanted, True), "hashes")
-        found = pairs.join(x, "a").join(y, "b").select("a", "b", "ha", "hb", "na", "nb", "x", "y").mapInArrow(_linked(self.percent), "a long, b long, ha long, hb long")
+        found = pairs.join(x, "a").join(y, "b").select("a", "b", "ha", "hb", "na", "nb", "x", "y").mapInArrow(giving_back(_linked(self.percent)), "a long, b long, ha long, hb long")
         return durable(found.select(_class("a", "ha").alias("a"), _class("b", "hb").alias("b")).distinct(), "jaccard-links")
 
     @staticmethod
@@ -391,15 +392,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = durable(plain.mapInArrow(_counted(words, percent), "doc_id long, n long, h1 long, h2 long, keys array<long>, counts array<long>"), "jaccard-rows")
+    rows = durable(plain.mapInArrow(giving_back(_counted(words, percent)), "doc_id long, n long, h1 long, h2 long, keys array<long>, counts array<long>"), "jaccard-rows")
     often = rows.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "counts")).alias("k")).groupBy("k.keys").agg(F.sum("k.counts").alias("n"))
     often = often.orderBy(F.desc("n"), "keys").limit(MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT numbers
     found = often["keys"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
     late = spark.sparkContext.broadcast((found[order], len(found) - order))  # the most frequent has the last place
     deal = F.when(F.col("kind") == _MORE, F.xxhash64("key", "c")).otherwise(F.col("key"))  # only hubs must meet
-    hubs = plain.mapInArrow(_emitting(words, percent, late), KEYED).repartition(partitions(spark), deal).sortWithinPartitions("key", "c")
-    members = durable(hubs.mapInArrow(_repeated, "key long, c long, n int, own boolean").distinct(), "jaccard-members")
+    hubs = plain.mapInArrow(giving_back(_emitting(words, percent, late)), KEYED).repartition(partitions(spark), deal).sortWithinPartitions("key", "c")
+    members = durable(hubs.mapInArrow(giving_back(_repeated), "key long, c long, n int, own boolean").distinct(), "jaccard-members")
     rows = rows.select("doc_id", "n", "h1", "h2")
     texts = _Texts(plain, rows, words, percent)
 

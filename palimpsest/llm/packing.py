@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm.common import durable
 from palimpsest.llm.encoding import encoder
+from palimpsest.llm.remembered import giving_back
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
 
@@ -131,7 +132,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 1, *, lower: bool = True,
     if size >= 1 << 15:
         raise ValueError("size must be under 32768")
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = durable(plain.mapInArrow(_pieces(vocabulary, lower, end, size), PIECES), "pieces")
+    pieces = durable(plain.mapInArrow(giving_back(_pieces(vocabulary, lower, end, size)), PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import durable, packed, unpacked
-from palimpsest.llm.remembered import begins
+from palimpsest.llm.remembered import begins, giving_back
 
 #: At most so many labelled documents are fitted on: those with the smallest hashes of doc_id, half of them toxic if there are.
 SAMPLE = 8_000
@@ -39,6 +39,8 @@ BUCKETS = (1 << 31) - 1
 #: A document is rejected from this expected severity on.
 REJECT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
+#: A worker remembers so many words at most, each shorter than LONGEST.
+KEPT, LONGEST = 200_000, 40
 
 
 @dataclass(frozen=True)
@@ -50,43 +52,82 @@ class Model:
     cuts: np.ndarray
 
     def latent(self, text: str | None) -> float:
-        known = self.__dict__.get("_known")
-        if known is None:
-            known = dict(zip(self.bucket.tolist(), self.weight.tolist(), strict=True))
-            object.__setattr__(self, "_known", known)
-        return sum(known[b] for b in buckets(text) if b in known)
+        own = self.__dict__.get("_own")
+        if own is None:
+            own = dict(zip(self.bucket.tolist(), self.weight.tolist(), strict=True)), _told_by(self.bucket.tobytes())
+            object.__setattr__(self, "_own", own)
+        known, told = own
+        found: set[int] = set()
+        for w in words(text):
+            of = told.get(w)
+            if of is None:
+                of = tuple(b for b in _hashed(w) if b in known)
+                if len(told) < KEPT and len(w) < LONGEST:
+                    told[w] = of
+            if of:
+                found.update(of)
+        return sum(map(known.__getitem__, found))
+
+    def __reduce__(self):
+        return Model, (self.bucket, self.weight, self.cuts)  # not what it remembers
 
     def above(self, latent: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold, a column each."""
         return 1 / (1 + np.exp(-np.clip(latent[:, None] - self.cuts[None, :], -40, 40)))
 
 
+#: Words that a worker remembers while it works out features, with their buckets, and while it scores, with those of
+#: their buckets that the model has: most words have none.
 _by_word: dict[str, tuple[int, ...]] = {}
+_told: dict[bytes, dict[str, tuple[int, ...]]] = {}
 
 
-def _of_word(word: str) -> tuple[int, ...]:
+def _told_by(model: bytes) -> dict[str, tuple[int, ...]]:
+    """What is remembered of words for a model with these buckets; that for another one is dropped."""
+    if model not in _told:
+        _told.clear()
+        _told[model] = {}
+    return _told[model]
+
+
+def _forget() -> None:
+    _by_word.clear()
+    _told.clear()
+
+
+def _hashed(word: str) -> tuple[int, ...]:
     """The buckets of a word: itself and its beginnings. FNV-1a over code points, taken letter by letter."""
+    h, out = 0xCBF29CE484222325, []
+    for i, c in enumerate(word, 1):
+        h = (h ^ ord(c)) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        if 4 <= i <= 6:
+            out.append((h ^ h >> 29) % BUCKETS)
+    out.append((h * 31 + 7 ^ h >> 31) % BUCKETS)
+    return tuple(out)
+
+
+def _of_word(word: str) -> tuple[int, ...]:
+    """_hashed(), remembered."""
     found = _by_word.get(word)
     if found is None:
-        h, out = 0xCBF29CE484222325, []
-        for i, c in enumerate(word, 1):
-            h = (h ^ ord(c)) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            if 4 <= i <= 6:
-                out.append((h ^ h >> 29) % BUCKETS)
-        out.append((h * 31 + 7 ^ h >> 31) % BUCKETS)
-        found = tuple(out)
-        if len(_by_word) < 200_000 and len(word) < 40:
+        found = _hashed(word)
+        if len(_by_word) < KEPT and len(word) < LONGEST:
             _by_word[word] = found
     return found
 
 
+def words(text: str | None) -> set[str]:
+    """The distinct words of a whole text in lower case; none for null."""
+    return set(WORD.findall((text or "").lower()))
+
+
 def buckets(text: str | None) -> set[int]:
     """The hashed features of a whole text; none for null."""
-    return {b for w in set(WORD.findall((text or "").lower())) for b in _of_word(w)}
+    return {b for w in words(text) for b in _of_word(w)}
 
 
 def _features(batches):
-    begins("toxicity", _by_word.clear)
+    begins("toxicity", _forget)
     for b in batches:
         yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "features": [sorted(buckets(t)) for t in b["text"]]})
 
@@ -118,7 +159,7 @@ def sample(docs: DataFrame, grades: DataFrame, size: int = SAMPLE) -> pd.DataFra
     picked = [known.where(F.col("grade") == g).orderBy("h", "doc_id").limit(size // max(1, len(per))) for g in sorted(per)]
     ids = spark.createDataFrame([r for p in picked for r in p.select("doc_id", "grade").collect()], "doc_id long, grade int")
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
-    rows = durable(plain.mapInPandas(_features, "doc_id long, grade int, features array<int>"), "toxicity-sample")
+    rows = durable(plain.mapInPandas(giving_back(_features), "doc_id long, grade int, features array<int>"), "toxicity-sample")
     # Copies of one text aren't independent evidence: of texts with the same four smallest hashes in common one stays.
     alike = F.when(F.size("features") > 0, F.slice("features", 1, 4)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")))
     first = rows.groupBy("grade", alike.alias("alike")).agg(F.min(F.struct("doc_id", "features")).alias("r"))
@@ -190,7 +231,7 @@ def score(rows: DataFrame, model: Model, keep: list[str], clean_only: bool = Fal
     """
 
     def run(batches):
-        begins("toxicity", _by_word.clear)
+        begins("toxicity", _forget)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -203,7 +244,7 @@ def score(rows: DataFrame, model: Model, keep: list[str], clean_only: bool = Fal
                 yield out.filter(pa.array(severity < reject)) if clean_only else out
 
     fields = [*(rows.schema[c] for c in keep), *T.StructType.fromDDL("severity double, grade int, toxic boolean").fields]
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(giving_back(run), T.StructType(fields))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:

@@ -93,6 +93,39 @@ def test_a_worker_forgets_what_other_operators_remember():
     assert len(shingles.shingle_sets(pa.array(["a b c d e f"]), 5)[0]) == 2 and not toxicity._by_word
 
 
+def test_what_a_worker_forgets_is_gone_at_once(monkeypatch):
+    import gc
+    import pickle
+    import weakref
+
+    from palimpsest.llm import encoding, remembered, toxicity
+
+    monkeypatch.setattr(encoding, "KEPT_LOWER", 2)
+    own = encoding.encoder(WORDS, True, 1)
+    assert np.frombuffer(own("aa bb cc dd"), dtype="<u4").tolist() == ids(WORDS, "aa bb cc dd", 1) and len(own.rest) == 2
+    gone = weakref.ref(own)
+    del own
+    gc.disable()
+    try:
+        [_ for _ in toxicity._features([])]
+        assert gone() is None
+    finally:
+        gc.enable()
+    # Scoring remembers of a word what the model knows of it: for most words nothing.
+    toxicity._forget()
+    known = toxicity._hashed("horrid")
+    model = toxicity.Model(np.array(sorted(known)), np.array([1.0, 2.0, 4.0, 8.0]), np.array([1.0]))
+    assert model.latent("A horrid day, horrid!") == 15 and model.latent(None) == 0
+    assert not toxicity._by_word and {w: len(x) for w, x in toxicity._told[model.bucket.tobytes()].items()} == {"a": 0, "day": 0, "horrid": 4}
+    assert not pickle.loads(pickle.dumps(model)).__dict__.keys() - {"bucket", "weight", "cuts"}
+    # A task that ends gives back what it has freed.
+    given = []
+    monkeypatch.setattr(remembered, "give_back", lambda: given.append(len(out)))
+    out = []
+    out.extend(remembered.giving_back(lambda batches: (b + 1 for b in batches))([1, 2]))
+    assert out == [2, 3] and len(given) == 1
+
+
 def test_keys_are_counted_in_place():
     import tracemalloc
 
